@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import plugins, text
@@ -20,33 +20,38 @@ def split_sentences(documents: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def frequent_words(sentences: DataFrame, pattern: str, min_sentences: int) -> DataFrame:
-    """The words of a pattern that occur in at least `min_sentences` sentences: a term table from the texts."""
-    words = sentences.select(
-        F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(pattern), F.lit(0)))).alias("term")
-    )
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("sentences")).where(F.col("sentences") >= min_sentences)
+def _words(sentences: DataFrame, pattern: str) -> DataFrame:
+    """Each distinct match of a pattern in each sentence, in its own row."""
+    found = F.array_distinct(F.regexp_extract_all("sentence", F.lit(pattern), F.lit(0)))
+    return sentences.select("*", F.explode(found).alias("_word"))
+
+
+def _folded(word: str, ignore_case: bool) -> Column:
+    return F.lower(word) if ignore_case else F.col(word)
 
 
-def gazetteer_mentions(sentences: DataFrame, terms: DataFrame, pattern: str) -> DataFrame:
-    """One mention per sentence and term that it contains as a word, at its first position.
+def frequent_words(sentences: DataFrame, pattern: str, min_count: int, ignore_case: bool = False) -> DataFrame:
+    """The matches of a pattern that occur at least `min_count` times, once per sentence: a term table from the texts."""
+    terms = _words(sentences, pattern).groupBy(_folded("_word", ignore_case).alias("term"))
+    return terms.agg(F.count(F.lit(1)).alias("sentences")).where(F.col("sentences") >= min_count)
 
-    Words are the matches of `pattern`. A term table of unknown size is joined as Spark sees fit; it is
-    broadcast only if Spark finds it small.
+
+def gazetteer_mentions(sentences: DataFrame, terms: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
+    """One mention per sentence and word that is in the term table, at its first position.
+
+    Words are the matches of `pattern`; `terms` has the column term and may have entity_type. The term table is
+    joined as Spark sees fit: it is broadcast only if Spark finds it small.
     """
-    typed = terms.select("term", F.col("entity_type") if "entity_type" in terms.columns else F.lit("TERM").alias("entity_type"))
-    words = sentences.select(
-        "*", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(pattern), F.lit(0)))).alias("term")
-    )
-    found = words.join(typed, "term")
-    start = F.instr(F.col("sentence"), F.col("term")) - 1
-    kept = [c for c in sentences.columns if c != "sentence"]
+    kind = F.col("entity_type") if "entity_type" in terms.columns else F.lit("TERM")
+    typed = terms.select(_folded("term", ignore_case).alias("_term"), kind.alias(schema.TYPE))
+    found = _words(sentences, pattern).withColumn("_term", _folded("_word", ignore_case)).join(typed, "_term")
+    start = F.instr(F.col("sentence"), F.col("_word")) - 1
     return found.select(
-        *kept,
+        *[c for c in sentences.columns if c != "sentence"],
         F.col("sentence").alias(schema.SENTENCE),
-        F.col("term").alias(schema.ENTITY),
+        F.col("_word").alias(schema.ENTITY),
         start.alias(schema.START),
-        (start + F.length("term")).alias(schema.END),
+        (start + F.length("_word")).alias(schema.END),
         schema.TYPE,
     )
 

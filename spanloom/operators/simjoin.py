@@ -54,9 +54,14 @@ def _best(src: np.ndarray, dst: np.ndarray, sim: np.ndarray, k: int):
     return src[keep], dst[keep], sim[keep]
 
 
-def _pick(scores, src_ids, dst_ids, k, floor, above, earlier):
-    """The best `k` columns of each row of a matrix of scores; a row never picks its own id."""
-    hidden = dst_ids[None, :] >= src_ids[:, None] if earlier else dst_ids[None, :] == src_ids[:, None]
+def _pick(scores, src_ids, dst_ids, k, floor, above, earlier, others):
+    """The best `k` columns of each row of a matrix of scores; with `others` a row does not pick its own id."""
+    if earlier:
+        hidden = dst_ids[None, :] >= src_ids[:, None]
+    elif others:
+        hidden = dst_ids[None, :] == src_ids[:, None]
+    else:
+        hidden = np.zeros(scores.shape, bool)
     if floor is not None:
         hidden |= (scores <= floor) if above else (scores < floor)
     scores = np.where(hidden, -np.inf, scores)
@@ -69,7 +74,7 @@ def _pick(scores, src_ids, dst_ids, k, floor, above, earlier):
     return _best(src_ids[row], dst_ids[col], scores[row, col], k)
 
 
-def _top(left_ids, left, right_ids, right, k, floor=None, above=False, earlier=False, both=False):
+def _top(left_ids, left, right_ids, right, k, floor=None, above=False, earlier=False, others=False, both=False):
     """The best `k` right rows of every left row, as (src, dst, sim); with `both` also the other way round."""
     forward, backward = [_EMPTY], [_EMPTY]
     if len(left_ids) and len(right_ids):
@@ -77,9 +82,9 @@ def _top(left_ids, left, right_ids, right, k, floor=None, above=False, earlier=F
         for at in range(0, len(left_ids), height):
             ids = left_ids[at : at + height]
             scores = np.round(left[at : at + height] @ right.T, DECIMALS)
-            forward.append(_pick(scores, ids, right_ids, k, floor, above, earlier))
+            forward.append(_pick(scores, ids, right_ids, k, floor, above, earlier, others))
             if both:
-                backward.append(_pick(scores.T, right_ids, ids, k, floor, above, earlier))
+                backward.append(_pick(scores.T, right_ids, ids, k, floor, above, earlier, others))
     found = tuple(np.concatenate(parts) for parts in zip(*forward))
     return (found, _best(*(np.concatenate(parts) for parts in zip(*backward)), k)) if both else found
 
@@ -256,9 +261,9 @@ def nearest_others(
         ids, vecs, owner = _ids(table.column("id")), _matrix(table.column("vec")), _ids(table.column("block"))
         a, b = owner == low, owner == high
         if low == high:
-            found = [_top(ids, vecs, ids, vecs, k, floor, above, earlier)]
+            found = [_top(ids, vecs, ids, vecs, k, floor, above, earlier, others=True)]
         else:
-            found = _top(ids[a], vecs[a], ids[b], vecs[b], k, floor, above, earlier, both=True)
+            found = _top(ids[a], vecs[a], ids[b], vecs[b], k, floor, above, earlier, others=True, both=True)
         return pa.Table.from_batches([_batch(one) for one in found])
 
     return rank_best(pairs.groupBy("low", "high").applyInArrow(run, EDGES), k)

@@ -70,6 +70,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows out by `key` if the scan has fewer splits than there are slots; large tables pass as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+
+
 def number_rows(df: DataFrame, order_by: list[str], name: str = "row_id") -> DataFrame:
     """Number the rows 0, 1, 2 … in the order of `order_by`, which must be unique.
 
