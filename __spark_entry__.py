@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -16,7 +15,7 @@ from spanloom.functions import plugins, text, vectors
 from spanloom.operators import cluster, components, cooccur, knn, medoids, prepare, search
 from spanloom.options import Options
 from spanloom.plans import index
-from spanloom.session import cut, ensure_checkpoint_dir, number_rows, ship, spread
+from spanloom.session import cut, number_rows, shared_folder, ship, spread, store
 from spanloom.sources import delimited, schema
 from spanloom.sources.corpora import CorpusStore
 from spanloom.streaming.questions import answer_stream
@@ -39,12 +38,6 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-
-
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
     documents = _table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     return prepare.split_sentences(spread(documents, "doc_id"))
@@ -58,17 +51,29 @@ def _found_mentions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Build a table once per application and keep it as Parquet, as a corpus is indexed once and asked many times."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = store(make())
+    return _STORED[key]
+
+
 def _mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """The mention table, written once: every query on it reads it more than once."""
-    return cut(_found_mentions(spark, sf))
+    return _once(spark, sf, "mentions", lambda: _found_mentions(spark, sf))
 
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return number_rows(_found_mentions(spark, sf), list(ORDER))
+    return _once(spark, sf, "numbered", lambda: number_rows(_mentions(spark, sf), list(ORDER)))
 
 
 def _indexed(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(index.add_vectors(_numbered(spark, sf), ENCODER, OPTIONS.alpha_span_weight))
+    return _once(
+        spark, sf, "indexed", lambda: index.add_vectors(_numbered(spark, sf), ENCODER, OPTIONS.alpha_span_weight)
+    )
 
 
 def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,14 +176,14 @@ def q_map_schema(spark, sf):
 
 def q_read_delimited(spark, sf):
     """The conversations, written as TSV and read again."""
-    folder = _folder(spark) + "/conversations.tsv"
+    folder = shared_folder(spark) + "/conversations.tsv"
     delimited.write_tsv(_table(spark, sf, "conversations"), folder)
     return delimited.read_delimited(spark, folder)
 
 
 def q_load_mentions(spark, sf):
     """The mentions, written as TSV and read as a corpus: mapping, typed offsets and row numbers."""
-    folder = _folder(spark) + "/mentions.tsv"
+    folder = shared_folder(spark) + "/mentions.tsv"
     delimited.write_tsv(
         _mentions(spark, sf).select(
             F.col(schema.SENTENCE).alias("Sentence"), F.col(schema.ENTITY).alias("entity"),
@@ -430,7 +435,7 @@ def q_network_edges_medoids(spark, sf):
 
 def q_index_roundtrip(spark, sf):
     """Mentions stored as one corpus per language and read again, language by language."""
-    store = CorpusStore(spark, _folder(spark))
+    store = CorpusStore(spark, shared_folder(spark))
     rows = _indexed(spark, sf).withColumn("corpus_id", F.col("source_language"))
     store.save_index(rows)
     names = [r[0] for r in rows.select("corpus_id").distinct().collect()]
@@ -444,7 +449,7 @@ def q_index_roundtrip(spark, sf):
 
 def q_corpus_stats(spark, sf):
     """A corpus per language of the documents; those with mentions are indexed."""
-    store = CorpusStore(spark, _folder(spark))
+    store = CorpusStore(spark, shared_folder(spark))
     store.save_index(_mentions(spark, sf).withColumn("corpus_id", F.col("source_language")))
     for row in _table(spark, sf, "documents").select("lang").distinct().collect():
         store.register(corpus_id=row.lang, name=row.lang.upper(), dataset_path=sf, encoder="hashed_trigram")
@@ -458,7 +463,7 @@ def q_stream_answers(spark, sf):
     terms = spark.readStream.schema(kind).parquet(f"{sf}/benchmark*.parquet").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("term")
     )
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     corpus = _indexed(spark, sf)
     run = answer_stream(terms, corpus, ENCODER, f"{folder}/answers", k=5, min_score=0.2).option(
         "checkpointLocation", f"{folder}/state"

@@ -94,6 +94,32 @@ def encode_column(text: Column, encoder: Encoder) -> Column:
     return F.arrow_udf(run, "array<float>")(text)
 
 
+def embed_columns(mention: Column, context: Column, encoder: Encoder, alpha: float) -> Column:
+    """Mention, context and blended vector in one pass, as a struct; NULL where the text is NULL.
+
+    The blend is alpha · mention + (1 - alpha) · context at unit length; a zero vector stays zero.
+    """
+    vector = pa.list_(pa.float32())
+    kind = pa.struct([("mention_vec", vector), ("context_vec", vector), ("combined_vec", vector)])
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for mentions, contexts in batches:
+            valid = np.asarray(mentions.is_valid()) & np.asarray(contexts.is_valid())
+            texts = mentions.filter(pa.array(valid)).to_pylist(), contexts.filter(pa.array(valid)).to_pylist()
+            a, b = (
+                np.asarray(encoder.encode(t)).astype(np.float32) if t else np.zeros((0, encoder.dim), np.float32)
+                for t in texts
+            )
+            blend = alpha * a.astype(float) + (1.0 - alpha) * b.astype(float)
+            length = np.sqrt(np.einsum("ij,ij->i", blend, blend))[:, None]
+            blend = blend / np.where(length == 0, 1e-9, length)
+            yield pa.StructArray.from_arrays([_float_lists(m, valid).cast(vector) for m in (a, b, blend)], fields=list(kind))
+
+    return F.arrow_udf(run, "struct<mention_vec:array<float>,context_vec:array<float>,combined_vec:array<float>>")(
+        mention, context
+    )
+
+
 def encode_distinct(df: DataFrame, text: str, vector: str, encoder: Encoder) -> DataFrame:
     """As `encode_column`, but each distinct text is encoded once; worth its two shuffles for a slow model."""
     from spanloom.skew import lookup

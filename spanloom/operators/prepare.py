@@ -63,33 +63,30 @@ def merge_tag_spans(tokens: DataFrame, key: str | list[str] = "sent_id") -> Data
     type of the entity or its label starts with I-; the entity keeps the type of its first token.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    # One partitioning and one sort serve all windows and the grouping after them.
     order = Window.partitionBy(*keys).orderBy("tok_idx")
-    island = Window.partitionBy(*keys, "_run").orderBy("tok_idx")
-    entity = (F.col("label") != "O") & (F.col("start") != F.col("end"))
-    opens = ~F.startswith("label", F.lit("I-"))
-    tagged = (
-        tokens.withColumn("_run", F.count_if(~entity).over(order))
-        .where(entity)
-        .withColumn("_type", F.element_at(F.split("label", "-"), -1))
-        .withColumn("_first", F.row_number().over(island) == 1)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    tagged = tokens.select(
+        *keys, "tok_idx", "start", "end",
+        ((F.col("label") != "O") & (F.col("start") != F.col("end"))).alias("_entity"),
+        F.element_at(F.split("label", "-"), -1).alias("_type"),
+        (~F.startswith("label", F.lit("I-"))).alias("_opens"),
     )
-    # Tokens that go on by their I- label do not change the type; all others either set it or equal it.
-    marked = tagged.withColumn(
-        "_open_type",
-        F.last(F.when(F.col("_first") | opens, F.col("_type")), ignorenulls=True).over(
-            island.rowsBetween(Window.unboundedPreceding, -1)
-        ),
-    )
-    begins = F.col("_first") | (opens & (F.col("_type") != F.col("_open_type")))
-    numbered = marked.withColumn("_entity", F.count_if(begins).over(order))
+    first = F.col("_entity") & ~F.coalesce(F.lag("_entity").over(order), F.lit(False))
+    marked = tagged.withColumn("_first", first)
+    # A token that goes on by its I- label leaves the type of the entity; any other sets it or equals it.
+    sets_type = F.col("_entity") & (F.col("_first") | F.col("_opens"))
+    opened = marked.withColumn("_open_type", F.last(F.when(sets_type, F.col("_type")), ignorenulls=True).over(before))
+    begins = F.col("_first") | (F.col("_entity") & F.col("_opens") & (F.col("_type") != F.col("_open_type")))
+    numbered = opened.withColumn("_number", F.count_if(begins).over(order)).where("_entity")
     return (
-        numbered.groupBy(*keys, "_entity")
+        numbered.groupBy(*keys, "_number")
         .agg(
             F.min("start").alias("start"),
             F.max_by("end", "tok_idx").alias("end"),
             F.min_by("_type", "tok_idx").alias("type"),
         )
-        .drop("_entity")
+        .drop("_number")
     )
 
 

@@ -104,9 +104,9 @@ def _batch(found) -> pa.RecordBatch:
 
 def _small(df: DataFrame):
     """Ids and matrix of a table of at most `BROADCAST_ROWS` rows, else None."""
-    found = df.limit(BROADCAST_ROWS + 1).toArrow()
-    if found.num_rows > BROADCAST_ROWS:
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         return None
+    found = df.toArrow()
     return _ids(found.column(0).combine_chunks()), _matrix(found.column(1))
 
 

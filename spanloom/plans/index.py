@@ -22,14 +22,17 @@ DEFAULTS = Options()
 
 
 def add_vectors(mentions: DataFrame, encoder: plugins.Encoder, alpha: float, distinct: bool = False) -> DataFrame:
-    """Mention, context and blended vectors of each row; `distinct` encodes each distinct text once."""
+    """Mention, context and blended vectors of each row.
+
+    By default one pass over the rows makes all three. `distinct` encodes each distinct text once, which is worth
+    its shuffles for a slow model and texts that repeat a lot.
+    """
     rows = text.mention_context(mentions)
-    if distinct:
-        rows = plugins.encode_distinct(rows, "mention", "mention_vec", encoder)
-        rows = plugins.encode_distinct(rows, "context", "context_vec", encoder)
-    else:
-        rows = rows.withColumn("mention_vec", plugins.encode_column(F.col("mention"), encoder))
-        rows = rows.withColumn("context_vec", plugins.encode_column(F.col("context"), encoder))
+    if not distinct:
+        embedded = plugins.embed_columns(F.col("mention"), F.col("context"), encoder, alpha)
+        return rows.withColumn("_vectors", embedded).select(*rows.columns, "_vectors.*")
+    rows = plugins.encode_distinct(rows, "mention", "mention_vec", encoder)
+    rows = plugins.encode_distinct(rows, "context", "context_vec", encoder)
     blended = vectors.blend(F.col("mention_vec"), F.col("context_vec"), alpha)
     return rows.withColumn("_blend", blended).withColumn("combined_vec", vectors.l2_normalize(F.col("_blend"))).drop("_blend")
 
