@@ -1,0 +1,82 @@
+import pytest
+
+from spanloom.operators import cooccur
+
+KIND = "row_id bigint, clean_mention_sentence string, clean_entity_mention string, mention_start int, mention_end int"
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return spark.createDataFrame(
+        [
+            (0, "EU meets UN", "EU", 0, 2), (1, "EU meets UN", "UN", 9, 11), (2, "EU meets UN", "EU", 0, 2),
+            (3, "eu and Un", "eu", 0, 2), (4, "eu and Un", "Un", 7, 9),
+            (5, "Eu alone", "Eu", 0, 2), (6, "whole sentence", None, None, None),
+            (7, "bad span", None, 5, 99), (8, None, "EU", 0, 2), (9, "elsewhere UN", "UN", None, None),
+            (10, "elsewhere UN", " nan ", None, None),
+        ],
+        KIND,
+    )
+
+
+def table(df):
+    return [(r.entity_mention, r.absolute_count) for r in cooccur.ranked(df).collect()]
+
+
+def test_counts_of_hits(spark, corpus):
+    hits = corpus.where("row_id in (0, 1, 3, 6, 7)")
+    found = cooccur.cooccurring_entities(corpus, hits)
+    # A sentence counts once per entity. Without entity and offsets a row is no entity, with bad offsets it is.
+    assert table(found) == [("EU", 1), ("UN", 1), ("eu", 1), ("Un", 1), ("bad span", 1)]
+    row = found.where("entity_mention = 'EU'").first()
+    assert row.frequency_pct == 25.0 and row.frequency_label == "25.0%"
+
+
+def test_folded(spark, corpus):
+    found = cooccur.cooccurring_entities(corpus, ignore_case=True)
+    # EU has two rows, the others one each; un: UN has two rows.
+    assert table(found)[:2] == [("EU", 3), ("UN", 3)]
+    ties = spark.createDataFrame([(0, "a x", "x", 2, 3), (1, "b X", "X", 2, 3)], KIND)
+    assert table(cooccur.cooccurring_entities(ties, ignore_case=True)) == [("x", 2)]
+
+
+def test_empty(spark, corpus):
+    none = corpus.limit(0)
+    assert table(cooccur.cooccurring_entities(corpus, none)) == []
+    nodes, edges = cooccur.network(corpus, none)
+    assert nodes.count() == 0 and edges.count() == 0
+    assert cooccur.cooccurring_entities(corpus, corpus.where("row_id = 8")).count() == 0
+
+
+def test_network(spark, corpus):
+    nodes, edges = cooccur.network(corpus, ignore_case=True)
+    assert sorted((r.label, r.weight, r.size) for r in nodes.collect()) == [("EU", 3, 900), ("UN", 3, 900)]
+    assert [(r.u, r.v, r.weight, r.width) for r in edges.collect()] == [("EU", "UN", 2, 4.0)]
+    nodes, edges = cooccur.network(corpus)
+    assert sorted((r.label, r.weight) for r in nodes.collect()) == [("EU", 1), ("Eu", 1), ("UN", 2), ("Un", 1), ("eu", 1)]
+    assert sorted((r.u, r.v, r.weight) for r in edges.collect()) == [("EU", "UN", 1), ("Un", "eu", 1)]
+
+
+def test_network_limits_and_medoids(spark, corpus):
+    nodes, edges = cooccur.network(corpus, max_nodes=1)
+    assert [(r.label, r.weight) for r in nodes.collect()] == [("UN", 2)] and edges.count() == 0
+    named = corpus.selectExpr("*", "concat('m', row_id % 2) cluster_canonical_mention")
+    nodes, edges = cooccur.network(named, use_medoids=True)
+    assert sorted(r.label for r in nodes.collect()) == ["m0", "m1"]
+    assert [(r.u, r.v) for r in edges.collect()] == [("m0", "m1")]
+
+
+def test_network_against_pairs(spark):
+    import itertools
+    import random
+    from collections import Counter
+
+    chance = random.Random(5)
+    sentences = {f"s{i}": {f"e{chance.randint(0, 9)}" for _ in range(chance.randint(1, 6))} for i in range(80)}
+    rows = [(i, s, e, None, None) for i, (s, e) in enumerate((s, e) for s, es in sentences.items() for e in es)]
+    nodes, edges = cooccur.network(spark.createDataFrame(rows, KIND), max_nodes=6)
+    weights = Counter(e for es in sentences.values() for e in es)
+    top = set(sorted(weights, key=lambda e: (-weights[e], e))[:6])
+    pairs = Counter(p for es in sentences.values() for p in itertools.combinations(sorted(es & top), 2))
+    assert {r.label: r.weight for r in nodes.collect()} == {e: weights[e] for e in top}
+    assert {(r.u, r.v): r.weight for r in edges.collect()} == dict(pairs)

@@ -1,0 +1,85 @@
+import numpy as np
+import pytest
+
+from spanloom.operators import knn, simjoin
+from tests import models
+from tests.test_vectors import frame
+
+
+def cloud(seed, size, dim=6, copies=0):
+    """Unit vectors around a few directions, with some rows repeated."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(8, dim))
+    matrix = centres[rng.integers(0, 8, size)] + rng.normal(scale=0.5, size=(size, dim))
+    if copies:
+        matrix[rng.choice(size, copies, replace=False)] = matrix[0]
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix.astype(np.float32)
+
+
+def edges(df):
+    return sorted((r.src, r["rank"], r.dst, round(r.sim, 6)) for r in df.collect())
+
+
+def brute(left, right, k, floor=None, earlier=False, own=True):
+    s = np.round(left.astype(float) @ right.astype(float).T, 6)
+    out = []
+    for i in range(len(left)):
+        allowed = [j for j in range(len(right)) if (floor is None or s[i, j] >= floor) and (not earlier or j < i) and (own or i != j)]
+        for rank, j in enumerate(sorted(allowed, key=lambda j: (-s[i, j], j))[:k], 1):
+            out.append((i, rank, j, s[i, j]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("form", ["scan_right_small", "scan_left_small", "blocks"])
+@pytest.mark.parametrize("how", [{}, {"floor": 0.8}, {"floor": 0.8, "earlier": True}])
+def test_nearest_forms(spark, monkeypatch, form, how):
+    left, right = cloud(1, 23, copies=4), cloud(2, 57, copies=20)
+    left[3], left[9] = right[5], right[5]
+    if form == "scan_left_small":
+        left, right = left[:10], right
+        monkeypatch.setattr(simjoin, "BROADCAST_ROWS", 10)
+    if form == "blocks":
+        monkeypatch.setattr(simjoin, "_block_rows", lambda df: 10)
+    got = simjoin.nearest(frame(spark, left), frame(spark, right), 5, form="blocks" if form == "blocks" else "auto", **how)
+    assert edges(got) == brute(left, right, 5, **how)
+
+
+@pytest.mark.parametrize("block_rows", [7, 30, 1000])
+def test_nearest_others(spark, block_rows):
+    matrix = cloud(3, 61, copies=12)
+    df = frame(spark, matrix).repartition(5)
+    assert edges(simjoin.nearest_others(df, 4, block_rows=block_rows)) == brute(matrix, matrix, 4, own=False)
+    got = simjoin.nearest_others(df, 1, floor=0.7, earlier=True, block_rows=block_rows)
+    assert edges(got) == brute(matrix, matrix, 1, floor=0.7, earlier=True)
+
+
+def test_slabs_do_not_matter(spark, monkeypatch):
+    matrix = cloud(4, 40)
+    ids = np.arange(40)
+    whole = simjoin._top(ids, matrix.astype(float), ids, matrix.astype(float), 3, others=True, both=True)
+    monkeypatch.setattr(simjoin, "SLAB_CELLS", 100)
+    parts = simjoin._top(ids, matrix.astype(float), ids, matrix.astype(float), 3, others=True, both=True)
+    for a, b in zip(whole, parts):
+        assert sorted(zip(*map(list, a))) == sorted(zip(*map(list, b)))
+
+
+def test_null_vectors_and_empty_tables(spark):
+    df = frame(spark, cloud(5, 5)).unionByName(spark.createDataFrame([(99, None)], "row_id bigint, vec array<float>"))
+    assert {e[0] for e in edges(simjoin.nearest(df, df, 2))} == set(range(5))
+    assert edges(simjoin.nearest_others(df.limit(0), 2)) == []
+    assert edges(simjoin.nearest(df, df.limit(0), 2)) == []
+
+
+@pytest.mark.parametrize("copies", [0, 20, 45])
+@pytest.mark.parametrize("neighbours", [5, 30])
+def test_lists_with_copies(spark, copies, neighbours):
+    matrix = cloud(6, 70, copies=copies)
+    rows = frame(spark, matrix).repartition(3)
+    lists = models.neighbour_lists(matrix, neighbours)
+    got = {}
+    for r in knn.knn_graph(rows, neighbours).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append(r.dst)
+    assert got == lists
+    wanted, _ = models.mutual_knn(matrix, 0.8, neighbours)
+    assert sorted((r.src, r.dst) for r in knn.mutual_edges(rows, neighbours, 0.8).collect()) == sorted(wanted)

@@ -1,0 +1,98 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from spanloom.functions import plugins, vectors
+from spanloom.plans import index
+
+ENCODER = plugins.HashedTrigramEncoder(32)
+
+
+def frame(spark, matrix, name="vec"):
+    return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(matrix)], f"row_id bigint, {name} array<float>")
+
+
+def test_normalise_and_blend(spark):
+    df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, b array<float>")
+    row = df.select(
+        vectors.l2_normalize(F.col("a")), vectors.l2_normalize(F.col("b")),
+        vectors.blend(F.col("a"), F.col("b"), 0.6), vectors.dot(F.col("a"), F.col("a")),
+    ).first()
+    assert np.allclose(row[0], [0.6, 0.8]) and row[1] == [0.0, 0.0]
+    assert np.allclose(row[2], [1.8, 2.4]) and row[3] == 25.0
+
+
+def test_encoder():
+    matrix = ENCODER.encode(["EU", "eu", "x", ""])
+    assert np.allclose(np.linalg.norm(matrix[:3], axis=1), 1) and np.allclose(matrix[0], matrix[1])
+    assert not matrix[3].any()
+    long = "naïve 😀 " * 50
+    alone = ENCODER.encode([long])[0]
+    assert np.allclose(ENCODER.encode(["a", long, "b"])[1], alone)
+
+
+def test_nulls_and_both_ways_of_encoding(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "ab"), (4, "")], "row_id int, t string")
+    direct = df.withColumn("vec", plugins.encode_column(F.col("t"), ENCODER)).orderBy("row_id").collect()
+    once = plugins.encode_distinct(df, "t", "vec", ENCODER).orderBy("row_id").collect()
+    assert direct[1].vec is None and direct[0].vec == direct[2].vec
+    assert [r.vec for r in direct] == [r.vec for r in once]
+
+
+def test_vectors_of_rows(spark):
+    df = spark.createDataFrame(
+        [(1, "the EP met", "EP", 4, 6), (2, None, None, None, None), (3, "x", "x", 0, 1)],
+        "row_id int, clean_mention_sentence string, clean_entity_mention string, mention_start int, mention_end int",
+    )
+    fast = index.add_vectors(df, ENCODER, 0.6).orderBy("row_id").collect()
+    slow = index.add_vectors(df, ENCODER, 0.6, distinct=True).orderBy("row_id").collect()
+    for a, b in zip(fast, slow):
+        for name in ("mention_vec", "context_vec", "combined_vec"):
+            assert (a[name] is None) == (b[name] is None)
+            assert a[name] is None or np.allclose(a[name], b[name], atol=1e-6)
+    assert fast[1].mention_vec is None and np.isclose(np.linalg.norm(fast[0].combined_vec), 1, atol=1e-6)
+
+
+def test_mean_pool(spark):
+    df = spark.createDataFrame(
+        [(1, [1.0, 2.0], 1), (1, [3.0, 4.0], 1), (1, [9.0, 9.0], 0), (2, [5.0, 5.0], 0)],
+        "id int, vector array<float>, mask int",
+    )
+    rows = {r.id: r.pooled for r in vectors.mean_pool(df, "id").collect()}
+    assert rows == {1: [2.0, 3.0], 2: [0.0, 0.0]}
+
+
+def test_reduction_is_centred_pca(spark):
+    rng = np.random.default_rng(3)
+    matrix = (rng.normal(size=(60, 6)) * [5, 4, 3, 1, 1, 1] + 2).astype(np.float32)
+    df = frame(spark, matrix)
+    model = index.fit_reduction(df, 3, "vec")
+    got = np.array([r.vec for r in index.reduce_vectors(df, model, "vec").orderBy("row_id").collect()])
+    centred = matrix.astype(float) - matrix.astype(float).mean(axis=0)
+    wanted = centred @ np.linalg.svd(centred, full_matrices=False)[2][:3].T
+    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+    assert np.allclose(np.abs(got), np.abs(wanted), atol=1e-4)
+
+
+def test_reduction_limits(spark):
+    few = frame(spark, np.eye(4)[:3])
+    assert index.fit_reduction(few, 4, "vec") is None
+    model = index.fit_reduction(few, 3, "vec")
+    assert len(index.reduce_vectors(few, model, "vec").first().vec) == 2
+    with_null = few.unionByName(spark.createDataFrame([(9, None)], few.schema))
+    assert index.reduce_vectors(with_null, model, "vec").count() == 4
+
+
+def test_jaccard(spark):
+    df = spark.createDataFrame([("EU law", "The EU, the law!"), ("", "")], "a string, b string")
+    scores = [r[0] for r in df.select(plugins.JaccardReranker().column(F.col("a"), F.col("b"))).collect()]
+    assert np.allclose(scores, [2 / 3, 0])
+
+
+def test_reranker_plugin(spark):
+    class Length:
+        def score(self, terms, sentences):
+            return np.array([len(t) + len(s) for t, s in zip(terms, sentences)])
+
+    df = spark.createDataFrame([("ab", "cde")], "a string, b string")
+    assert df.select(plugins.rerank_column(F.col("a"), F.col("b"), Length())).first()[0] == 5.0
+    assert plugins.reranker_named("None") is None and plugins.reranker_named(None) is None
