@@ -1,0 +1,205 @@
+"""Exact nearest neighbours within one large table, leaving out what the triangle inequality rules out.
+
+1. A sample of rows serves as pivots; each row belongs to the cell of the pivot with the smallest angle to it.
+   A cell is known by its radius (largest angle of a member) and its longest member. As pivots are drawn from
+   the rows, a dense region gets many of them and is cut into many cells.
+2. Cells that are close together form a block; a block with too many rows is cut by a hash of the id.
+3. Each row first looks for neighbours in its own block. If it finds `k`, only a score at least as good as the
+   worst of them is still of interest, which makes a small angle around the row.
+4. The row then visits the other blocks that have a cell within this angle. All others cannot hold a better one:
+   angle(x, y) >= angle(x, pivot) - radius for every y of a cell.
+
+For data without any structure all blocks would be visited; this is noticed after step 3.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil, sqrt
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spanloom.operators.simjoin import EDGES, MARGIN, _batch, _ids, _matrix, _slots, _top, rank_best
+from spanloom.session import BROADCAST_ROWS, cut
+
+
+SMALL_BLOCK = 256
+
+
+def _directions(vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.sqrt(np.einsum("ij,ij->i", vecs, vecs))
+    return vecs / np.where(lengths == 0, 1.0, lengths)[:, None], lengths
+
+
+def _angles(directions: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(directions @ pivots.T, -1.0, 1.0))
+
+
+def _measure(df: DataFrame, pivots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Radius, longest member and size of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            directions, lengths = _directions(_matrix(batch.column(1)))
+            angles = _angles(directions, pivots.value)
+            cell = angles.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell, pa.int32()), pa.array(angles[np.arange(len(cell)), cell]), pa.array(lengths)],
+                names=["cell", "angle", "length"],
+            )
+
+    cells = df.mapInArrow(run, "cell int, angle double, length double").groupBy("cell")
+    # One row per pivot.
+    found = cells.agg(F.max("angle").alias("r"), F.max("length").alias("l"), F.count(F.lit(1)).alias("n")).toArrow()
+    count = len(pivots.value)
+    radius, longest, sizes = np.zeros(count), np.zeros(count), np.zeros(count, np.int64)
+    at = found.column("cell").to_numpy()
+    radius[at], longest[at], sizes[at] = (found.column(c).to_numpy() for c in ("r", "l", "n"))
+    return radius, longest, sizes
+
+
+def nearest_by_cells(
+    df: DataFrame,
+    size: int,
+    k: int,
+    floor: float | None,
+    above: bool,
+    earlier: bool,
+    any_one: bool,
+    block_rows: int,
+    worth: float,
+) -> DataFrame | None:
+    """Edges (src, dst, sim, rank) as of `nearest_others`; `size` is the number of rows of `df` (id, vector).
+
+    None if the rows would visit more than the share `worth` of all blocks: multiplying each pair of blocks
+    once for both directions is then the cheaper way.
+    """
+    context = df.sparkSession.sparkContext
+    df = df.toDF("id", "vec")
+    wanted = min(BROADCAST_ROWS, ceil(2 * sqrt(size)))
+    sample = _matrix(df.orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow().column("vec"))
+    pivots = context.broadcast(_directions(sample)[0])
+    radius, longest, sizes = _measure(df, pivots)
+
+    # Cells go to the block of the nearest of the first pivots; a block starts at `base` and has `parts` parts.
+    # Small blocks let rows leave out more, down to a size where the start of each product would count.
+    groups = max(1, min(len(sample), max(ceil(2 * size / block_rows), size // SMALL_BLOCK)))
+    group = _angles(pivots.value, pivots.value[:groups]).argmin(axis=1)
+    rows_of = np.bincount(group, weights=sizes, minlength=groups)
+    parts = np.maximum(1, np.ceil(rows_of / block_rows)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(parts)[:-1]])
+    plan = context.broadcast((radius, longest, sizes > 0, group, base, parts))
+
+    homes = cut(_home(_deal(df, pivots, plan), k, floor, above, earlier, any_one, pivots, plan, int(parts.sum())))
+    visits = homes.agg(F.sum(F.size("visits"))).first()[0] or 0
+    if visits > worth * size * max(1, int(parts.sum()) - 1):
+        return None
+    at_home = homes.select(F.col("id").alias("src"), F.explode(F.arrays_zip("dsts", "sims")).alias("e")).select(
+        "src", F.col("e.dsts").alias("dst"), F.col("e.sims").alias("sim")
+    )
+    return rank_best(at_home.unionByName(_visit(homes, k, floor, above, earlier, int(parts.sum()))), k)
+
+
+def _deal(df: DataFrame, pivots, plan) -> DataFrame:
+    """(id, vec, block) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, _, group, base, parts = plan.value
+        for batch in batches:
+            cell = _angles(_directions(_matrix(batch.column(1)))[0], pivots.value).argmin(axis=1)
+            mixed = _ids(batch.column(0)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            block = base[group[cell]] + (mixed % parts[group[cell]].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(block, pa.int64())], names=["id", "vec", "block"]
+            )
+
+    schema = T.StructType(df.schema.fields + [T.StructField("block", T.LongType())])
+    return df.mapInArrow(run, schema)
+
+
+def _home(dealt, k, floor, above, earlier, any_one, pivots, plan, blocks) -> DataFrame:
+    """Each row with its neighbours in its own block, the score to reach elsewhere, and the blocks to visit."""
+    extra = "bound double, dsts array<bigint>, sims array<double>, visits array<bigint>"
+    schema = T.StructType(dealt.schema.fields + T._parse_datatype_string(extra).fields)
+    worst = -np.inf if floor is None else floor
+
+    def run(table):
+        radius, longest, used, group, base, parts = plan.value
+        ids, vecs = _ids(table.column("id")), _matrix(table.column("vec"))
+        own = _ids(table.column("block"))[0]
+        order = np.argsort(ids)
+        src, dst, sim = _top(ids, vecs, ids, vecs, k, floor, above, earlier, others=True)
+        place = order[np.searchsorted(ids, src, sorter=order)]
+        count = np.bincount(place, minlength=len(ids))
+        by_row = np.argsort(place, kind="stable")
+        lowest = np.full(len(ids), np.inf)
+        np.minimum.at(lowest, place, sim)
+        bound = np.where(count >= k, lowest, worst)
+
+        directions, lengths = _directions(vecs)
+        member = np.zeros((len(group), len(base)), np.float32)
+        member[np.arange(len(group)), group] = used
+        guests, targets = [], []
+        for at in range(0, len(ids), 1024):
+            rows = slice(at, at + 1024)
+            reach = np.where(np.isneginf(bound[rows]), -1.0, bound[rows] - MARGIN)[:, None]
+            scale = lengths[rows][:, None] * longest[None, :]
+            # A positive score needs a cosine of at least reach / scale; for others any angle may do.
+            cosine = np.divide(reach, scale, out=np.full(scale.shape, 2.0), where=scale > 0)
+            within = np.where(reach > 0, np.arccos(np.clip(cosine, -1.0, 1.0)) + MARGIN, np.inf)
+            reachable = _angles(directions[rows], pivots.value) - radius[None, :] <= within
+            if any_one:
+                reachable[count[rows] > 0] = False
+            row, near = np.nonzero(reachable.astype(np.float32) @ member)
+            # All parts of each block that is in reach.
+            first = np.concatenate([[0], np.cumsum(parts[near])])
+            inside = np.arange(first[-1]) - np.repeat(first[:-1], parts[near])
+            guests.append(np.repeat(row + at, parts[near]))
+            targets.append(np.repeat(base[near], parts[near]) + inside)
+        guests, targets = np.concatenate(guests), np.concatenate(targets)
+        elsewhere = targets != own
+        guests, targets = guests[elsewhere], targets[elsewhere]
+        offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+        stops = np.concatenate([[0], np.cumsum(np.bincount(guests, minlength=len(ids)))]).astype(np.int32)
+        return pa.table(
+            {
+                "id": table.column("id"), "vec": table.column("vec"), "block": table.column("block"), "bound": pa.array(bound),
+                "dsts": pa.ListArray.from_arrays(offsets, pa.array(dst[by_row], pa.int64())),
+                "sims": pa.ListArray.from_arrays(offsets, pa.array(sim[by_row], pa.float64())),
+                "visits": pa.ListArray.from_arrays(stops, pa.array(targets, pa.int64())),
+            }
+        )
+
+    tasks = max(_slots(dealt), min(blocks, 100_000))
+    return dealt.repartition(tasks, "block").groupBy("block").applyInArrow(run, schema)
+
+
+def _visit(homes: DataFrame, k: int, floor: float | None, above: bool, earlier: bool, blocks: int) -> DataFrame:
+    """Edges from the visits: the visitors of one block meet the rows of another in one task."""
+    visitors = homes.select("id", "vec", "bound", F.col("block").alias("a"), F.explode("visits").alias("b"))
+    active = visitors.select("a", "b").distinct()
+    # One row per block, with at most one entry per other block.
+    guests = active.groupBy("b").agg(F.collect_list("a").alias("guests"))
+    residents = (
+        homes.select("id", "vec", F.col("block").alias("b"))
+        .join(guests, "b")
+        .select("id", "vec", F.lit(None).cast("double").alias("bound"), F.explode("guests").alias("a"), "b")
+    )
+    both = visitors.withColumn("visits", F.lit(True)).unionByName(residents.withColumn("visits", F.lit(False)))
+
+    def run(table):
+        guest = table.column("visits").to_numpy().astype(bool)
+        ids, vecs = _ids(table.column("id")), _matrix(table.column("vec"))
+        bounds = table.column("bound").to_numpy()[guest]
+        src, dst, sim = _top(ids[guest], vecs[guest], ids[~guest], vecs[~guest], k, floor, above, earlier)
+        order = np.argsort(ids[guest])
+        least = bounds[order[np.searchsorted(ids[guest], src, sorter=order)]]
+        keep = sim >= least
+        return pa.Table.from_batches([_batch((src[keep], dst[keep], sim[keep]))])
+
+    pairs = both.repartition(max(_slots(homes), min(blocks * 8, 100_000)), "a", "b")
+    return pairs.groupBy("a", "b").applyInArrow(run, EDGES)

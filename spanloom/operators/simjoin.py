@@ -23,12 +23,16 @@ from spanloom.session import BROADCAST_ROWS
 # Bytes of one block of vectors in double precision, and of one slab of scores.
 BLOCK_BYTES = 16 << 20
 SLAB_CELLS = 4 << 20
+# Rows from which on cells of near vectors are worth their two extra passes.
+CELL_ROWS = 200_000
 # Buckets that share the work of ranking the rows of one query.
 RANK_BUCKETS = 32
 
 EDGES = "src bigint, dst bigint, sim double"
 _EDGE_TYPE = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("sim", pa.float64())])
 DECIMALS = 6
+# A true score may lie this much below a rounded one.
+MARGIN = 1e-6
 _EMPTY = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
@@ -54,24 +58,34 @@ def _best(src: np.ndarray, dst: np.ndarray, sim: np.ndarray, k: int):
     return src[keep], dst[keep], sim[keep]
 
 
-def _pick(scores, src_ids, dst_ids, k, floor, above, earlier, others):
-    """The best `k` columns of each row of a matrix of scores; with `others` a row does not pick its own id."""
+def _candidates(scores, src_ids, dst_ids, k, floor, earlier, others):
+    """Cells (row, column) of a matrix of scores that include the best `k` of each row.
+
+    Few cells at the floor are taken as they are; many are thinned out by the k-th best score of their row.
+    """
+    height, width = scores.shape
+    if floor is not None:
+        passed = scores >= floor - MARGIN
+        if np.count_nonzero(passed) <= 4 * k * height:
+            return np.nonzero(passed)
     if earlier:
-        hidden = dst_ids[None, :] >= src_ids[:, None]
+        scores = np.where(dst_ids[None, :] >= src_ids[:, None], -np.inf, scores)
+    wanted = k + 1 if others else k
+    if wanted >= width:
+        return np.nonzero(scores > -np.inf)
+    cutoff = np.partition(scores, width - wanted, axis=1)[:, width - wanted, None] - 2 * MARGIN
+    return np.nonzero((scores >= cutoff) & (scores > -np.inf))
+
+
+def _edges(scores, row, col, src_ids, dst_ids, k, floor, above, earlier, others):
+    """The best `k` of each source among the candidates, by rounded score and then id."""
+    src, dst, sim = src_ids[row], dst_ids[col], np.round(scores[row, col], DECIMALS)
+    keep = np.ones(len(src), bool) if floor is None else (sim > floor) if above else (sim >= floor)
+    if earlier:
+        keep &= dst < src
     elif others:
-        hidden = dst_ids[None, :] == src_ids[:, None]
-    else:
-        hidden = np.zeros(scores.shape, bool)
-    if floor is not None:
-        hidden |= (scores <= floor) if above else (scores < floor)
-    scores = np.where(hidden, -np.inf, scores)
-    if k < scores.shape[1]:
-        # The k-th best score of a row is its cutoff; ties at the cutoff are sorted out by `_best`.
-        cutoff = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
-        row, col = np.nonzero((scores >= cutoff) & (scores > -np.inf))
-    else:
-        row, col = np.nonzero(scores > -np.inf)
-    return _best(src_ids[row], dst_ids[col], scores[row, col], k)
+        keep &= dst != src
+    return _best(src[keep], dst[keep], sim[keep], k)
 
 
 def _top(left_ids, left, right_ids, right, k, floor=None, above=False, earlier=False, others=False, both=False):
@@ -81,10 +95,13 @@ def _top(left_ids, left, right_ids, right, k, floor=None, above=False, earlier=F
         height = max(1, SLAB_CELLS // len(right_ids))
         for at in range(0, len(left_ids), height):
             ids = left_ids[at : at + height]
-            scores = np.round(left[at : at + height] @ right.T, DECIMALS)
-            forward.append(_pick(scores, ids, right_ids, k, floor, above, earlier, others))
+            scores = left[at : at + height] @ right.T
+            row, col = _candidates(scores, ids, right_ids, k, floor, earlier, others)
+            forward.append(_edges(scores, row, col, ids, right_ids, k, floor, above, earlier, others))
             if both:
-                backward.append(_pick(scores.T, right_ids, ids, k, floor, above, earlier, others))
+                turned = np.ascontiguousarray(scores.T)
+                row, col = _candidates(turned, right_ids, ids, k, floor, earlier, others)
+                backward.append(_edges(turned, row, col, right_ids, ids, k, floor, above, earlier, others))
     found = tuple(np.concatenate(parts) for parts in zip(*forward))
     return (found, _best(*(np.concatenate(parts) for parts in zip(*backward)), k)) if both else found
 
@@ -237,20 +254,33 @@ def nearest_others(
     floor: float | None = None,
     above: bool = False,
     earlier: bool = False,
+    any_one: bool = False,
     block_rows: int | None = None,
+    cell_rows: int = CELL_ROWS,
+    worth: float = 0.5,
 ) -> DataFrame:
     """For each row of `df` (id, vector) the best `k` other rows, as edges (src, dst, sim, rank).
 
-    The table is dealt into blocks and each unordered pair of blocks is multiplied once, for both directions.
+    With `any_one` (and k = 1) any allowed row will do in place of the best. Tables below `cell_rows` rows are
+    dealt into blocks by a hash and all pairs of blocks are multiplied. Larger ones are dealt into cells of
+    near vectors, and a row visits only the cells that can hold something for it (`spanloom.operators.cells`),
+    unless that would be more than the share `worth` of the table.
     """
     df = df.where(F.col(df.columns[1]).isNotNull())
     size = df.count()
+    rows = block_rows or _block_rows(df)
+    if size >= cell_rows:
+        from spanloom.operators.cells import nearest_by_cells
+
+        found = nearest_by_cells(df, size, k, floor, above, earlier, any_one, rows, worth)
+        if found is not None:
+            return found
     # At least a block per two slots as soon as the table is worth it, so that all slots get a pair.
-    blocks = max(ceil(size / (block_rows or _block_rows(df))), min(ceil(size / 512), ceil(_slots(df) ** 0.5)), 1)
+    blocks = max(ceil(size / rows), min(ceil(size / 512), ceil(_slots(df) ** 0.5)), 1)
     block = F.pmod(F.xxhash64(F.col(df.columns[0])), F.lit(blocks)).cast("int")
     dealt = df.select(
         F.col(df.columns[0]).alias("id"),
-        F.col(df.columns[1]).cast("array<double>").alias("vec"),
+        F.col(df.columns[1]).alias("vec"),
         block.alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"),
     ).select("id", "vec", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))

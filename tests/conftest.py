@@ -11,7 +11,7 @@ from spanloom.session import get_session
 @pytest.fixture(scope="session")
 def spark():
     session = get_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g", spark__ui__enabled="false"
+        "tests", "local[3]", spark__sql__shuffle__partitions="3", spark__driver__memory="8g", spark__ui__enabled="false"
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
