@@ -169,6 +169,27 @@ def q_merge_tag_spans(spark, sf):
     return rows.select(*keys, schema.ENTITY, schema.START, schema.END, schema.TYPE)
 
 
+def q_tag_mentions(spark, sf):
+    """The same entities from a tagger that runs in Arrow batches."""
+
+    class ByLength:
+        def tag(self, sentences):
+            kinds = [(2, "O"), (3, "B-PER"), (5, "I-PER"), (7, "B-LOC"), (9, "I-LOC")]
+            tagged = []
+            for sentence in sentences:
+                at, tokens = 0, []
+                for word in sentence.split(" "):
+                    label = next((name for most, name in kinds if len(word) <= most), "ORG")
+                    tokens.append((label, at, at + len(word)))
+                    at += len(word) + 1
+                tagged.append(tokens)
+            return tagged
+
+    keys = ["doc_id", "sentence_no"]
+    rows = prepare.tag_mentions(_sentences(spark, sf).select(*keys, "sentence"), ByLength(), keys)
+    return rows.select(*keys, schema.ENTITY, schema.START, schema.END, schema.TYPE)
+
+
 def q_map_schema(spark, sf):
     mapped, _ = schema.map_schema(_table(spark, sf, "documents"))
     return mapped
@@ -426,7 +447,7 @@ def q_network_edges_of_hits(spark, sf):
 
 
 def q_network_edges_medoids(spark, sf):
-    """The network of cluster medoids: labels stand for the embeddings, terms are clustered by their first letter."""
+    """The network of canonical labels, with the first three letters of a term as its label."""
     rows = _mentions(spark, sf)
     named = rows.withColumn("cluster_canonical_mention", F.upper(F.substring(schema.ENTITY, 1, 3)))
     edges = cooccur.network(named, use_medoids=True, order_by=ORDER)[1]
@@ -458,7 +479,7 @@ def q_corpus_stats(spark, sf):
 
 def q_stream_answers(spark, sf):
     """The benchmark texts as a stream of search terms against the mentions."""
-    _table(spark, sf, "benchmark")
+    ship(spark)
     kind = spark.read.parquet(f"{sf}/benchmark.parquet").schema
     terms = spark.readStream.schema(kind).parquet(f"{sf}/benchmark*.parquet").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("term")

@@ -243,6 +243,7 @@ ORACLES: dict[str, str] = {
        mention_start, mention_end, entity_type FROM mentions""",
     ),
     "merge_tag_spans": "WITH " + SPANS,
+    "tag_mentions": "WITH " + SPANS,
     "map_schema": "SELECT doc_id AS document_id, text AS clean_mention_sentence, lang, source, n_chars FROM documents",
     "read_delimited": "SELECT " + ", ".join(_nulls(c) for c in ("conv_id", "turn", "role", "text")) + " FROM conversations",
     "load_mentions": _rows(

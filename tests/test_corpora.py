@@ -2,7 +2,9 @@ import pytest
 
 from spanloom.functions import plugins
 from spanloom.options import Options
-from spanloom.plans import index, interrogate
+from spanloom.__main__ import main
+from spanloom.plans import index, interrogate, preparation
+from spanloom.sources import delimited
 from spanloom.sources.corpora import CorpusStore, clean_corpus_id
 
 
@@ -84,3 +86,32 @@ def test_options(tmp_path):
     path.write_text('{"top_k": 3, "alpha_span_weight": 0.5, "other": 1}')
     options = Options.from_json(str(path))
     assert (options.top_k, options.alpha_span_weight, options.similarity_threshold) == (3, 0.5, 0.70)
+
+
+def test_folder_to_mentions(spark, tmp_path):
+    class Capitals:
+        def tag(self, sentences):
+            return [
+                [("B-X" if w[0].isupper() else "O", s.index(w), s.index(w) + len(w)) for w in s.rstrip(".").split()] for s in sentences
+            ]
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("we met Ada.\nthen Bob came. nobody else")
+    preparation.prepare_folder(spark, str(tmp_path / "in"), Capitals(), str(tmp_path / "out.tsv"))
+    rows = delimited.load_mentions(spark, str(tmp_path / "out.tsv")).orderBy("row_id").collect()
+    assert [(r.clean_entity_mention, r.mention_start, r.mention_end, r.document_id) for r in rows] == [
+        ("Ada", 7, 10, "a.txt"), ("Bob", 5, 8, "a.txt"),
+    ]
+
+
+def test_command_line(spark, tmp_path, dataset, capsys):
+    store = ["--store", str(tmp_path / "cli")]
+    main(store + ["map", "--dataset", dataset])
+    main(store + ["create", "News", "--dataset", dataset, "--clustering-method", "leader", "--alpha-span-weight", "0.5"])
+    main(store + ["query", "news", "Red Cross", "--top-k", "2", "--reranker", "jaccard"])
+    main(store + ["update", "news"])
+    main(store + ["list"])
+    main(store + ["delete", "news"])
+    out = capsys.readouterr().out
+    assert '"text": "clean_mention_sentence"' in out and "European Parliament" in out and "50.0%" in out
+    assert CorpusStore(spark, str(tmp_path / "cli")).list().count() == 0
