@@ -8,7 +8,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import plugins, text, vectors
@@ -151,12 +151,10 @@ def _tokens(spark, sf):
         F.when(size <= 2, "O").when(size == 3, "B-PER").when(size <= 5, "I-PER").when(size <= 7, "B-LOC")
         .when(size <= 9, "I-LOC").otherwise("ORG")
     )
-    return cut(words.select("doc_id", "sentence_no", "tok_idx", label.alias("label"), size.alias("size")))
+    return words.select("doc_id", "sentence_no", "tok_idx", label.alias("label"), size.alias("size"))
 
 
 def _placed_tokens(spark, sf):
-    from pyspark.sql import Window
-
     before = Window.partitionBy("doc_id", "sentence_no").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("size") + 1).over(before), F.lit(0))
     return _tokens(spark, sf).withColumn("start", start).withColumn("end", F.col("start") + F.col("size"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text
 from spanloom.options import Options
+from spanloom.session import broadcast_if_small, cut
 from spanloom.sources import schema
 
 DEFAULTS = Options()
@@ -17,11 +18,11 @@ def hit_sentences(results: DataFrame) -> DataFrame:
     return results.select(schema.SENTENCE).where(F.col(schema.SENTENCE).isNotNull()).distinct()
 
 
-def _in_hits(corpus: DataFrame, results: DataFrame | None) -> DataFrame:
-    """All mention rows whose sentence is hit; without a result every row with a sentence."""
-    if results is None:
+def _in_hits(corpus: DataFrame, hits: DataFrame | None) -> DataFrame:
+    """All mention rows whose sentence is hit; without hits every row with a sentence."""
+    if hits is None:
         return corpus.where(F.col(schema.SENTENCE).isNotNull())
-    return corpus.join(hit_sentences(results), schema.SENTENCE, "left_semi")
+    return corpus.join(broadcast_if_small(hits), schema.SENTENCE, "left_semi")
 
 
 def _key(label: Column, ignore_case: bool) -> Column:
@@ -48,9 +49,10 @@ def cooccurring_entities(
     the order of the corpus rows; it decides ties. The order of the result is (absolute_count descending,
     first_seen), and `place` holds it.
     """
-    hits = hit_sentences(corpus if results is None else results)
-    total = hits.agg(F.count(F.lit(1))).scalar()
-    spoken = text.mention_context(_in_hits(corpus, results), "_mention", "_context")
+    # The hits are written down: the result behind them is costly and read twice, and their size decides the join.
+    hits = None if results is None else cut(hit_sentences(results))
+    total = (hit_sentences(corpus) if hits is None else hits).agg(F.count(F.lit(1))).scalar()
+    spoken = text.mention_context(_in_hits(corpus, hits), "_mention", "_context")
     both_offsets = text.is_present(spoken, schema.START) & text.is_present(spoken, schema.END)
     named = both_offsets | (F.col("_mention") != F.col(schema.SENTENCE))
     rows = spoken.where(named & ~F.col("_mention").isin("", "nan")).select(
@@ -83,12 +85,12 @@ def ranked(cooccurring: DataFrame) -> DataFrame:
     return cooccurring.orderBy(F.desc("absolute_count"), "first_seen").drop("first_seen")
 
 
-def _labels(corpus: DataFrame, results: DataFrame | None, use_medoids: bool, ignore_case: bool, order_by) -> DataFrame:
+def _labels(corpus: DataFrame, hits: DataFrame | None, use_medoids: bool, ignore_case: bool, order_by) -> DataFrame:
     """(sentence, key, form) of all rows with a label."""
     medoid = use_medoids and "cluster_canonical_mention" in corpus.columns
     label = text.strip(F.col("cluster_canonical_mention" if medoid else schema.ENTITY))
     return (
-        _in_hits(corpus, results)
+        _in_hits(corpus, hits)
         .select(text.strip(F.col(schema.SENTENCE)).alias("sentence"), label.alias("form"), F.struct(*order_by).alias("_order"))
         .where(~F.col("form").isin("", "nan"))
         .withColumn("key", _key(F.col("form"), ignore_case))
@@ -117,7 +119,8 @@ def network(
     sentences with the same set of labels are counted together before any pair is made, so the number of
     pairs is bounded by the number of different label sets, not by the number of sentences.
     """
-    rows = _labels(corpus, results, use_medoids, ignore_case, order_by)
+    hits = None if results is None else cut(hit_sentences(results))
+    rows = _labels(corpus, hits, use_medoids, ignore_case, order_by)
     pairs = rows.select("sentence", "key").distinct()
     top = _top_keys(pairs, max_nodes)
     if ignore_case:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 # Largest side that is ever sent to every executor, in rows. With vectors of 768 floats this is about 50 MB.
 BROADCAST_ROWS = 16_384
+BROADCAST_BYTES = 32 << 20
 
 
 def get_session(app: str = "spanloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -84,6 +85,14 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a materialised table for broadcast if its measured size is at most `most` bytes."""
+    sizes = [F.octet_length(c) if kind == "string" else F.lit(8) for c, kind in df.dtypes]
+    row = sum((F.coalesce(size, F.lit(0)) for size in sizes), F.lit(16))
+    measured = df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if measured <= most else df
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal the rows out by `key` if the scan has fewer splits than there are slots; large tables pass as they are."""
     slots = df.sparkSession.sparkContext.defaultParallelism
