@@ -17,12 +17,12 @@ MAX_ROUNDS = 100
 def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, component) for each node of the edges (src, dst); a component is named by its smallest node."""
     star = cut(_down(edges.select("src", "dst")))
+    # Each step turns an edge into at most one other, so this bounds the rows of all rounds.
+    most = 2 * star.count()
     for _ in range(max_rounds):
         if _is_star(star):
             return _labels(star)
-        size = star.count()
-        # A large-star round writes at most two rows per edge.
-        star = cut(_small_star(_large_star(star, 2 * size), 2 * size))
+        star = cut(_small_star(_large_star(star, most), most))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
