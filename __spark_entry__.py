@@ -498,11 +498,20 @@ def entry(spark: SparkSession) -> DataFrame:
     return cooccur.ranked(cooccur.cooccurring_entities(corpus, _word_hits(spark, sf, corpus), ignore_case=True))
 
 
+def _added() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators, if their subpackage is there."""
+    try:
+        from spanloom.llm import queries as llm
+    except ImportError:
+        return {}, {}
+    return llm.QUERIES, llm.ORACLES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: make for name, make in globals().items() if name.startswith("q_")}
+    return {name[2:]: make for name, make in globals().items() if name.startswith("q_")} | _added()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import ORACLES
 
-    return dict(ORACLES)
+    return ORACLES | _added()[1]
