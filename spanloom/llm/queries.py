@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import packing, records
+from spanloom.llm import mixing, packing, records
 from spanloom.llm.common import table
 from spanloom.session import shared_folder
 
@@ -38,5 +38,13 @@ def op5_best_fit_packing(spark, sf):
     return packing.pack_texts(_texts(spark, sf), tokenizer(WORD_BPE)).withColumnRenamed("key", "doc_id")
 
 
+def op6_water_filling(spark, sf):
+    """How many words of each document the mix takes."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "source", "text")
+    return mixing.mix(rows).select(
+        F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken")
+    )
+
+
 QUERIES = {name: make for name, make in globals().items() if name.startswith("op")}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op6_water_filling": mixing.ORACLE}
