@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import mixing, packing, records
+from spanloom.llm import mixing, packing, records, warc
 from spanloom.llm.common import table
 from spanloom.session import shared_folder
 
@@ -46,5 +46,17 @@ def op6_water_filling(spark, sf):
     )
 
 
+def op10_warc_source(spark, sf):
+    """Each page as an archive record, read back."""
+    folder = shared_folder(spark)
+    pages = table(spark, sf, "pages").select(
+        F.col("page_id").cast("bigint").alias("key"), F.col("url").alias("uri"), F.col("html").alias("payload")
+    )
+    warc.write_pages(pages, folder)
+    return warc.read_pages(spark, folder).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES = {name: make for name, make in globals().items() if name.startswith("op")}
 ORACLES = {"op6_water_filling": mixing.ORACLE}
