@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import mixing, packing, records, warc
+from spanloom.llm import minhash, mixing, packing, records, warc
 from spanloom.llm.common import table
 from spanloom.session import shared_folder
 
@@ -33,6 +33,11 @@ def op1_token_records(spark, sf):
     )
 
 
+def op3_circulant_minhash(spark, sf):
+    """The class of near-duplicates of each document."""
+    return minhash.near_duplicates(_texts(spark, sf)).withColumnsRenamed({"key": "doc_id", "component": "component_id"})
+
+
 def op5_best_fit_packing(spark, sf):
     """The pieces of each document in sequences of at most 2048 tokens."""
     return packing.pack_texts(_texts(spark, sf), tokenizer(WORD_BPE)).withColumnRenamed("key", "doc_id")
