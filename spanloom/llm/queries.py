@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import minhash, mixing, packing, records, warc
+from spanloom.llm import minhash, mixing, packing, records, toxicity, warc
 from spanloom.llm.common import table
 from spanloom.session import shared_folder
 
@@ -25,7 +25,9 @@ def _texts(spark, sf):
 def op1_token_records(spark, sf):
     """The ids of each document from record files, which are written in doc_id order and read back."""
     folder = shared_folder(spark)
-    records.write_records(records.encode_texts(records.ordered(_texts(spark, sf)), tokenizer(BYTE_BPE)), folder)
+    path = tokenizer(BYTE_BPE)
+    encoded = records.encode_texts(records.ordered(_texts(spark, sf)), path)
+    records.write_records(encoded, folder, records.id_bytes(path))
     return records.read_records(spark, folder).select(
         F.col("key").alias("doc_id"), "start",
         (F.octet_length("payload").cast("bigint") / records.ID_BYTES).cast("bigint").alias("n_tokens"),
@@ -38,6 +40,14 @@ def op3_circulant_minhash(spark, sf):
     return minhash.near_duplicates(_texts(spark, sf)).withColumnsRenamed({"key": "doc_id", "component": "component_id"})
 
 
+def op4_pu_toxicity(spark, sf):
+    """The toxicity of each document, learnt from the labels of four folds."""
+    rows = _texts(spark, sf)
+    labels = table(spark, sf, "labels").select(F.col("doc_id").cast("bigint").alias("key"), "toxic")
+    scored = toxicity.score(rows, toxicity.train(rows, labels))
+    return scored.select(F.col("key").alias("doc_id"), toxicity.held_out(F.col("key")).alias("held_out"), "score", "predicted")
+
+
 def op5_best_fit_packing(spark, sf):
     """The pieces of each document in sequences of at most 2048 tokens."""
     return packing.pack_texts(_texts(spark, sf), tokenizer(WORD_BPE)).withColumnRenamed("key", "doc_id")

@@ -4,7 +4,7 @@ One record is
 
     length    unsigned 64 bit, little endian: bytes of the payload
     check     unsigned 32 bit: masked CRC-32 of the eight length bytes
-    payload   the ids, unsigned 32 bit each, little endian
+    payload   the ids, little endian, unsigned 16 bit each if every id of the tokenizer fits, else 32 bit
     check     unsigned 32 bit: masked CRC-32 of the payload
 
 A mask keeps a checksum apart from the checksums of data that itself holds checksums: the value is turned right by 15
@@ -92,9 +92,27 @@ class _Split(InputPartition):
     records: int
 
 
+def narrow(payload: bytes, width: int) -> bytes:
+    """The 32-bit ids of a payload in `width` bytes each."""
+    import numpy as np
+
+    if width == ID_BYTES:
+        return payload
+    ids = np.frombuffer(payload, "<u4")
+    if len(ids) and int(ids.max()) >> (8 * width):
+        raise ValueError(f"an id does not fit into {width} bytes")
+    return ids.astype(f"<u{width}").tobytes()
+
+
+def widen(payload: bytes, width: int) -> bytes:
+    import numpy as np
+
+    return payload if width == ID_BYTES else np.frombuffer(payload, f"<u{width}").astype("<u4").tobytes()
+
+
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, options):
+        self.path, self.width = options["path"], int(options.get("id_bytes", ID_BYTES))
 
     def write(self, iterator):
         import pyarrow as pa
@@ -115,12 +133,12 @@ class _Writer(DataSourceArrowWriter):
             for batch in iterator:
                 rows = {"key": [], "offset": [], "length": [], "first": []}
                 for key, payload in zip(batch.column("key").to_pylist(), batch.column("payload")):
-                    payload = payload.as_py() or b""
+                    payload = narrow(payload.as_py() or b"", self.width)
                     out.write(frame(payload))
                     for column, value in zip(rows.values(), (key, offset, len(payload), ids)):
                         column.append(value)
                     records += 1
-                    ids += len(payload) // ID_BYTES
+                    ids += len(payload) // self.width
                     offset += HEAD.size + len(payload) + TAIL.size
                 index.write_batch(pa.record_batch(list(rows.values()), schema=kind))
         return _Shard(number, name, records, ids, offset)
@@ -133,7 +151,7 @@ class _Writer(DataSourceArrowWriter):
         fs, folder = open_fs(self.path)
         fs.create_dir(folder, recursive=True)
         with fs.open_output_stream(f"{folder}/{MANIFEST}") as out:
-            out.write(json.dumps({"ids": base, "shards": shards}).encode())
+            out.write(json.dumps({"ids": base, "id_bytes": self.width, "shards": shards}).encode())
 
     def abort(self, messages):
         fs, folder = open_fs(self.path)
@@ -155,12 +173,14 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         """A split of at most about SPLIT_BYTES each; the index tells a task where its records begin."""
-        splits = []
-        for number, shard in enumerate(read_manifest(self.path)["shards"]):
+        splits, manifest = [], read_manifest(self.path)
+        for number, shard in enumerate(manifest["shards"]):
             parts = max(1, min(shard["records"], -(-shard["size"] // SPLIT_BYTES)))
             cuts = [shard["records"] * i // parts for i in range(parts + 1)]
-            splits += [_Split(number, shard["name"], shard["base"], a, b - a) for a, b in zip(cuts, cuts[1:])]
-        return splits or [_Split(0, "", 0, 0, 0)]
+            splits += [
+                _Split(number, shard["name"], shard["base"], a, b - a, manifest["id_bytes"]) for a, b in zip(cuts, cuts[1:])
+            ]
+        return splits or [_Split(0, "", 0, 0, 0, ID_BYTES)]
 
     def read(self, partition):
         import pyarrow as pa
@@ -181,7 +201,7 @@ class _Reader(DataSourceReader):
                 payload = unframe(source.read)
                 if payload is None or len(payload) != length:
                     raise CorruptRecord(f"{partition.name}: the index and record {partition.first + i} differ")
-                rows.append((key, partition.number, partition.first + i, partition.base + first, payload))
+                rows.append((key, partition.number, partition.first + i, partition.base + first, widen(payload, partition.width)))
                 size += length
                 if len(rows) >= READ_ROWS or size >= READ_BYTES:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
@@ -204,7 +224,7 @@ class TokenRecords(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"])
+        return _Writer(dict(self.options))
 
 
 def encode_texts(rows: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -221,10 +241,17 @@ def encode_texts(rows: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "key bigint, payload binary")
 
 
-def write_records(rows: DataFrame, folder: str) -> None:
-    """Write rows (key, payload) as shards in the order of their partitions."""
+def id_bytes(path: str) -> int:
+    """The bytes that hold any id of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else ID_BYTES
+
+
+def write_records(rows: DataFrame, folder: str, width: int = ID_BYTES) -> None:
+    """Write rows (key, payload of 32-bit ids) as shards in the order of their partitions, `width` bytes for an id."""
     rows.sparkSession.dataSource.register(TokenRecords)
-    rows.write.format(FORMAT).mode("append").save(folder)
+    rows.write.format(FORMAT).option("id_bytes", width).mode("append").save(folder)
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -246,6 +273,7 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 def read_shuffled(spark: SparkSession, folder: str, seed: int) -> DataFrame:
     """(place, key, payload) in a seeded random order: the index rows are shuffled, and each record is fetched by offset."""
     order = F.xxhash64(F.lit(seed), "name", "offset")
+    width = read_manifest(folder)["id_bytes"]
     rows = read_index(spark, folder).withColumn("place", order).repartitionByRange("place").sortWithinPartitions("place")
 
     def run(batches):
@@ -262,7 +290,7 @@ def read_shuffled(spark: SparkSession, folder: str, seed: int) -> DataFrame:
                         source.close()
                     name, source = file, fs.open_input_file(f"{base}/{file}.rec")
                 source.seek(offset)
-                payloads[i] = unframe(source.read)
+                payloads[i] = widen(unframe(source.read), width)
             if source:
                 source.close()
             yield pa.record_batch(

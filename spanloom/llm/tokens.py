@@ -12,13 +12,16 @@ import re
 
 ID_BYTES = 4
 # Pieces kept per worker; with more the cache starts anew. About 250 bytes each.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 # Pieces that are encoded in one call.
 LEARN_PIECES = 1_000
 
-_ODD = re.compile("[\0\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-_RUNS = re.compile(r"[\t\x0b\x0c\r]|  | \n|\n[ \n]|^ ")
+# White space and controls that need care, and those that are left to the library.
+_ODD = re.compile("[\0\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_WIDE = re.compile("[\0\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 _PIECES = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+# After a letter these begin a new token, whatever the letter belongs to.
+_MARKS = ".,;:!?%*&$#()[]\"-"
 
 
 class PieceEncoder:
@@ -36,20 +39,21 @@ class PieceEncoder:
         self.mark = special[-1].content if special else None
         self.mark_id = self.marked.token_to_id(self.mark) if special else None
         self.cache: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._whole([text])[0]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        if _RUNS.search(text):
-            pieces = _PIECES.findall(text)
-        else:
+            self.marks.clear()
+        if _ODD.search(text):
+            if _WIDE.search(text):
+                return self._whole([text])[0]
+        elif "  " not in text and ("\n" not in text or not ("\n\n" in text or "\n " in text or " \n" in text)):
             # The same pieces, but without the blank in front; the marker keeps the first one apart.
             pieces = text.replace("\n", " \n").split(" ")
             pieces[0] = "\0" + pieces[0]
             return self._join(pieces, _restore)
-        return self._join([" " + p for p in pieces], _strip)
+        return self._join([" " + p for p in _PIECES.findall(text)], _strip)
 
     def _join(self, pieces: list[str], text_of) -> bytes:
         found = list(map(self.cache.get, pieces))
@@ -61,8 +65,14 @@ class PieceEncoder:
     def _learn(self, pieces: set[str], text_of) -> None:
         import numpy as np
 
-        joined, alone = [], []
+        joined, alone, ended = [], [], []
         for piece in pieces:
+            body = piece.rstrip(_MARKS)
+            if body != piece and body[-1:].isalpha():
+                ended.append((piece, body))
+                if body in self.cache or body in pieces:
+                    continue
+                piece = body
             text = text_of(piece)
             (joined if self.mark and "<|" not in text and text.strip() else alone).append((piece, text))
         for at in range(0, len(joined), LEARN_PIECES):
@@ -77,6 +87,11 @@ class PieceEncoder:
         if alone:
             for (piece, _), ids in zip(alone, self._whole([t for _, t in alone])):
                 self.cache[piece] = ids
+        for piece, body in ended:
+            marks = piece[len(body) :]
+            if marks not in self.marks:
+                self.marks[marks] = self._whole([marks])[0]
+            self.cache[piece] = self.cache[body] + self.marks[marks]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
