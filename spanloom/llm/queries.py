@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import minhash, mixing, packing, records, toxicity, warc
+from spanloom.llm import chunks, minhash, mixing, packing, records, syncmers, toxicity, warc
 from spanloom.llm.common import table
 from spanloom.session import shared_folder
 
@@ -61,6 +61,17 @@ def op6_water_filling(spark, sf):
     )
 
 
+def op7_closed_syncmers(spark, sf):
+    """The fingerprint of each document, beside those of its edited text and of the next document."""
+    return syncmers.fingerprints(_texts(spark, sf)).withColumnRenamed("key", "doc_id")
+
+
+def op8_content_defined_chunks(spark, sf):
+    """Each document without the passages that documents with smaller ids have."""
+    found = chunks.deduplicate(_texts(spark, sf))
+    return found.select(F.col("key").alias("doc_id"), "text", F.length("text").cast("bigint").alias("n_chars"), "removed_chars", "spans")
+
+
 def op10_warc_source(spark, sf):
     """Each page as an archive record, read back."""
     folder = shared_folder(spark)
