@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import chunks, minhash, mixing, packing, records, syncmers, toxicity, warc
+from spanloom.llm import chunks, hamming, minhash, mixing, packing, records, syncmers, toxicity, warc
 from spanloom.llm.common import table
 from spanloom.session import shared_folder
 
@@ -72,6 +72,12 @@ def op8_content_defined_chunks(spark, sf):
     return found.select(F.col("key").alias("doc_id"), "text", F.length("text").cast("bigint").alias("n_chars"), "removed_chars", "spans")
 
 
+def op9_multi_index_hashing(spark, sf):
+    """The ten nearest vectors of each hundredth one."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return hamming.search(rows, F.col("id") % 100 == 0, 10)
+
+
 def op10_warc_source(spark, sf):
     """Each page as an archive record, read back."""
     folder = shared_folder(spark)
