@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import chunks, hamming, minhash, mixing, packing, records, syncmers, toxicity, warc
+from spanloom.llm import boilerplate, chunks, hamming, minhash, mixing, packing, records, syncmers, toxicity, warc
 from spanloom.llm.common import table
 from spanloom.session import shared_folder
 
@@ -35,6 +35,12 @@ def op1_token_records(spark, sf):
     )
 
 
+def op2_min_cut_extraction(spark, sf):
+    """The main text of each page."""
+    pages = table(spark, sf, "pages").withColumnRenamed("page_id", "key")
+    return boilerplate.extract(pages).withColumnRenamed("key", "page_id")
+
+
 def op3_circulant_minhash(spark, sf):
     """The class of near-duplicates of each document."""
     return minhash.near_duplicates(_texts(spark, sf)).withColumnsRenamed({"key": "doc_id", "component": "component_id"})
