@@ -16,14 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import given_id, own_id
+from spanloom.llm.common import own_id
 from spanloom.llm.shingles import mix64
 from spanloom.session import store
 from spanloom.skew import HOT_NARROW_ROWS, lookup
 
 WINDOW, REACH = 16, 16
 LEAST_WORDS = 25
-RESULT = "id bigint, text string, removed_chars bigint, spans array<struct<start: bigint, end: bigint>>"
 _GEAR = (mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
@@ -106,13 +105,8 @@ def copied_spans(text: str, copied: set[int], least_words: int = LEAST_WORDS) ->
     return found
 
 
-def deduplicate(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key, text, removed_chars, spans) of rows (key, text), without the passages that a smaller key has.
-
-    `spans` are the code points that were taken out of the given text. NULL and empty texts stay as they are. A row
-    without a key comes after all others; rows that share a key count as one document, so neither is cut for the other.
-    """
-    rows = rows.select(own_id(F.col("key"), F.col("text")).alias("id"), "text")
+def copied_digests(rows: DataFrame) -> DataFrame:
+    """(id, copied): the digests of those chunks of rows (id, text) that a smaller id has too, one row per id with any."""
 
     def digests(batches):
         import pyarrow as pa
@@ -125,33 +119,45 @@ def deduplicate(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 owners = np.repeat(ids, [len(v) for v in values])
                 yield pa.record_batch([pa.array(owners), pa.array(np.concatenate(values), pa.int64())], names=["id", "digest"])
 
-    chunks = rows.mapInArrow(digests, "id bigint, digest bigint")
+    chunks = rows.select("id", "text").mapInArrow(digests, "id bigint, digest bigint")
     first = chunks.groupBy("digest").agg(
         F.min("id").alias("first"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("_rows")
     ).where(F.col("first") != F.col("_last")).drop("_last")
     shared = lookup(chunks, store(first), "digest", "_rows", hot_rows=HOT_NARROW_ROWS).where(F.col("id") != F.col("first"))
     # As many digests as the document has chunks at most.
-    copied = shared.groupBy("id").agg(F.collect_set("digest").alias("copied"))
+    return shared.groupBy("id").agg(F.collect_set("digest").alias("copied"))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """`docs` without the passages that a document with a smaller key has; adds removed_chars and spans.
+
+    `spans` are the code points that were taken out of the given text. NULL and empty texts stay as they are. A row
+    without a key comes after all others; rows that share a key count as one document, so neither is cut for the other.
+    All columns are kept; of those, only ones named like an added one are replaced.
+    """
+    docs = docs.drop("removed_chars", "spans")
+    rows = docs.select(
+        own_id(F.col(key), F.col(text)).alias("id"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    )
+    joined = rows.join(copied_digests(rows), "id", "left").select("text", "copied", "row")
+    spans = "array<struct<start: bigint, end: bigint>>"
+    kind = f"text string, removed_chars bigint, spans {spans}, row {rows.schema['row'].dataType.simpleString()}"
 
     def cut(batches):
         import pyarrow as pa
 
-        kind = pa.schema([
-            ("id", pa.int64()), ("text", pa.string()), ("removed_chars", pa.int64()),
-            ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        ])
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             texts, removed, spans = [], [], []
-            for text, marks in zip(batch.column("text").to_pylist(), batch.column("copied").to_pylist()):
-                found = copied_spans(text, set(marks), least_words) if text and marks else []
-                if found:
-                    ends = [0, *(e for _, e in found)]
-                    text = "".join(text[a:b] for a, b in zip(ends, [*(s for s, _ in found), len(text)]))
-                texts.append(text)
+            for old, marks in zip(batch.column("text").to_pylist(), batch.column("copied").to_pylist()):
+                found = copied_spans(old, set(marks), least_words) if old and marks else []
+                ends = [0, *(e for _, e in found)]
+                texts.append("".join(old[a:b] for a, b in zip(ends, [*(s for s, _ in found), len(old)])) if found else old)
                 removed.append(sum(e - s for s, e in found))
                 spans.append([{"start": s, "end": e} for s, e in found])
-            columns = [batch.column("id"), *(pa.array(c, f.type) for c, f in zip((texts, removed, spans), list(kind)[1:]))]
-            yield pa.record_batch(columns, schema=kind)
+            columns = [pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, span), batch.column("row")]
+            yield pa.record_batch(columns, names=["text", "removed_chars", "spans", "row"])
 
-    done = rows.join(copied, "id", "left").select("id", "text", "copied").mapInArrow(cut, RESULT)
-    return done.withColumn("key", given_id(F.col("id"))).select("key", "text", "removed_chars", "spans")
+    done = joined.mapInArrow(cut, kind)
+    columns = [F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
+    return done.select(*columns, "removed_chars", "spans")

@@ -201,7 +201,14 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     others; if no member has a key, `component` is NULL and all its rows are kept. Rows that share a key count as one
     document.
     """
-    rows = rows.select(own_id(F.col("key"), F.col("text")).alias("id"), "text")
+    found = classify(rows.select(own_id(F.col("key"), F.col("text")).alias("id"), "text"))
+    return found.select(
+        given_id(F.col("id")).alias("key"), F.col("n").alias("n_shingles"), given_id(F.col("component")).alias("component"), "kept"
+    )
+
+
+def classify(rows: DataFrame) -> DataFrame:
+    """(id, n, component, kept) for rows (id, text) whose ids are not NULL; see `near_duplicates`."""
     signed = store(signatures(rows))
     full = signed.where(F.col("n") > 0)
     classes = full.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 1)
@@ -235,7 +242,13 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = signed.select("id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
-    return named.select(
-        given_id(F.col("id")).alias("key"), F.col("n").alias("n_shingles"), given_id(component).alias("component"),
-        (component == F.col("id")).alias("kept"),
-    )
+    return named.select("id", "n", component.alias("component"), (component == F.col("id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near-duplicates: of each class the one with the smallest key, of equal rows one."""
+    marked = docs.withColumn("_id", own_id(F.col(key), F.col(text)))
+    kept = classify(marked.select(F.col("_id").alias("id"), F.col(text).alias("text"))).where("kept")
+    marked = marked.join(kept.select(F.col("id").alias("_id")).distinct(), "_id", "left_semi")
+    marked = marked.withColumn("_hash", F.xxhash64(F.col(text)))
+    return marked.dropDuplicates(["_id", "_hash"]).select(*docs.columns)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import own_id
 from spanloom.session import store
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,6 +82,18 @@ def _join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     return left.join(named, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]).drop(*[f"_r{k}" for k in keys])
 
 
+def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """`docs` with each row as often as the mix takes it; rows that share a key are taken alike, as often as one of them.
+
+    A row without a key counts by its content.
+    """
+    marked = docs.withColumn("_id", own_id(F.col(key), F.col(text), F.col(source)))
+    taken = mix(marked.select(F.col("_id").alias("key"), F.col(source).alias("source"), F.col(text).alias("text")), **how)
+    times = taken.groupBy(F.col("key").alias("_id")).agg(F.max("repeats").alias("_times")).where(F.col("_times") > 0)
+    repeated = marked.join(times, "_id").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return repeated.select(*docs.columns)
+
+
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,

@@ -98,7 +98,10 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_pieces: int =
     pieces = store(pieces)
     # Only the number of groups is taken to the driver.
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("key", "piece", "start", "ids_crc32"), F.lit(groups)))
+    # Pieces without a key may be many and alike; their place in the stored table tells them apart.
+    place = F.when(F.col("key").isNull(), F.monotonically_increasing_id())
+    dealt = pieces.withColumn("_place", place)
+    dealt = dealt.withColumn("_group", F.pmod(F.xxhash64("key", "_place", "piece", "ids_crc32"), F.lit(groups))).drop("_place")
     ordered = dealt.repartition(groups, "_group").sortWithinPartitions(
         "_group", F.desc("length"), "key", "piece", "ids_crc32"
     )

@@ -74,8 +74,8 @@ def op7_closed_syncmers(spark, sf):
 
 def op8_content_defined_chunks(spark, sf):
     """Each document without the passages that documents with smaller ids have."""
-    found = chunks.deduplicate(_texts(spark, sf))
-    return found.select(F.col("key").alias("doc_id"), "text", F.length("text").cast("bigint").alias("n_chars"), "removed_chars", "spans")
+    found = chunks.deduplicate(table(spark, sf, "documents"))
+    return found.select("doc_id", "text", F.length("text").cast("bigint").alias("n_chars"), "removed_chars", "spans")
 
 
 def op9_multi_index_hashing(spark, sf):

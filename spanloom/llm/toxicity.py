@@ -155,3 +155,17 @@ def score(rows: DataFrame, scorer: Scorer) -> DataFrame:
             yield pa.record_batch([batch.column("key"), pa.array(scores), predicted], names=["key", "score", "predicted"])
 
     return rows.select("key", "text").mapInArrow(run, "key bigint, score double, predicted int")
+
+
+def reject(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
+    """The documents that are not predicted to be toxic, with all their columns."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        known: dict[str, tuple] = {}
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.score_all(batch.column(at).to_pylist(), known) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
