@@ -501,10 +501,11 @@ def entry(spark: SparkSession) -> DataFrame:
 def _added() -> tuple[dict, dict]:
     """Queries and SQL of the training-data operators, if their subpackage is there."""
     try:
+        import corpus_pipeline
         from spanloom.llm import queries as llm
     except ImportError:
         return {}, {}
-    return llm.QUERIES, llm.ORACLES
+    return llm.QUERIES | {"pipeline": corpus_pipeline.run}, llm.ORACLES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
