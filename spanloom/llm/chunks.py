@@ -3,7 +3,8 @@
 A gear hash rolls over the code points: it doubles and adds a fixed random value of the next code point, in 16 bits, so
 it depends on the last 16 of them. A chunk ends where the hash is the smallest within `REACH` places on both sides.
 Cuts depend on nearby text only, so an insertion moves no cut beyond it, and a passage that two documents share is cut
-alike in both but for its first and last chunk. Chunks have between REACH + 1 and some hundred code points, 33 on average.
+alike in both but for its first and last chunk. But for the ends of a text,
+chunks have between REACH + 1 and some hundred code points, 33 on average.
 
 A chunk is a copy if a document with a smaller key has a chunk of the same digest. Runs of copies of at least
 `LEAST_WORDS` words are taken out, to whole words; shorter ones are common phrases and stay. So a passage of over 50

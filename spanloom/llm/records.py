@@ -90,6 +90,7 @@ class _Split(InputPartition):
     base: int
     first: int
     records: int
+    width: int
 
 
 def narrow(payload: bytes, width: int) -> bytes:
