@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import plugins, text, vectors
 from spanloom.operators import cluster, components, cooccur, knn, medoids, prepare, search
 from spanloom.options import Options
-from spanloom.plans import index
+from spanloom.plans import index, preparation
 from spanloom.session import cut, number_rows, shared_folder, ship, spread, store
 from spanloom.sources import delimited, schema
 from spanloom.sources.corpora import CorpusStore
@@ -141,51 +142,46 @@ def q_gazetteer_mentions(spark, sf):
     )
 
 
-def _tokens(spark, sf):
-    """The words of each sentence with a label by their length; double spaces give zero-width tokens."""
-    words = _sentences(spark, sf).select(
-        "doc_id", "sentence_no", F.posexplode(F.split("sentence", " ")).alias("tok_idx", "word")
-    )
-    size = F.length("word")
-    label = (
-        F.when(size <= 2, "O").when(size == 3, "B-PER").when(size <= 5, "I-PER").when(size <= 7, "B-LOC")
-        .when(size <= 9, "I-LOC").otherwise("ORG")
-    )
-    return words.select("doc_id", "sentence_no", "tok_idx", label.alias("label"), size.alias("size"))
+class ByLength:
+    """A tagger that labels words by their length."""
 
-
-def _placed_tokens(spark, sf):
-    before = Window.partitionBy("doc_id", "sentence_no").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("size") + 1).over(before), F.lit(0))
-    return _tokens(spark, sf).withColumn("start", start).withColumn("end", F.col("start") + F.col("size"))
+    def tag(self, sentences):
+        kinds = [(2, "O"), (3, "B-PER"), (5, "I-PER"), (7, "B-LOC"), (9, "I-LOC")]
+        tagged = []
+        for sentence in sentences:
+            at, tokens = 0, []
+            for word in sentence.split(" "):
+                label = next((name for most, name in kinds if len(word) <= most), "ORG")
+                tokens.append((label, at, at + len(word)))
+                at += len(word) + 1
+            tagged.append(tokens)
+        return tagged
 
 
 def q_merge_tag_spans(spark, sf):
-    keys = ["doc_id", "sentence_no"]
-    spans = prepare.merge_tag_spans(_placed_tokens(spark, sf), keys)
-    rows = prepare.entity_rows(_sentences(spark, sf).select(*keys, "sentence"), spans, keys)
-    return rows.select(*keys, schema.ENTITY, schema.START, schema.END, schema.TYPE)
+    """The spans of a table of tagged tokens."""
+    sentences = _sentences(spark, sf).select("doc_id", "sentence_no", plugins.tag_column(F.col("sentence"), ByLength()).alias("tokens"))
+    tokens = sentences.select("doc_id", "sentence_no", F.posexplode("tokens").alias("tok_idx", "token"))
+    spans = prepare.merge_tag_spans(tokens.select("doc_id", "sentence_no", "tok_idx", "token.*"), ["doc_id", "sentence_no"])
+    return spans.withColumnsRenamed({"start": schema.START, "end": schema.END, "type": schema.TYPE})
 
 
 def q_tag_mentions(spark, sf):
-    """The same entities from a tagger that runs in Arrow batches."""
-
-    class ByLength:
-        def tag(self, sentences):
-            kinds = [(2, "O"), (3, "B-PER"), (5, "I-PER"), (7, "B-LOC"), (9, "I-LOC")]
-            tagged = []
-            for sentence in sentences:
-                at, tokens = 0, []
-                for word in sentence.split(" "):
-                    label = next((name for most, name in kinds if len(word) <= most), "ORG")
-                    tokens.append((label, at, at + len(word)))
-                    at += len(word) + 1
-                tagged.append(tokens)
-            return tagged
-
-    keys = ["doc_id", "sentence_no"]
-    rows = prepare.tag_mentions(_sentences(spark, sf).select(*keys, "sentence"), ByLength(), keys)
-    return rows.select(*keys, schema.ENTITY, schema.START, schema.END, schema.TYPE)
+    """The entities of a tagger that runs in Arrow batches."""
+    rows = prepare.tag_mentions(_sentences(spark, sf).select("doc_id", "sentence_no", "sentence"), ByLength())
+    return rows.select("doc_id", "sentence_no", schema.ENTITY, schema.START, schema.END, schema.TYPE)
+
+
+def q_prepare_folder(spark, sf):
+    """The documents as text files, one folder each and with equal names, read, tagged and written as a mention table."""
+    folder = shared_folder(spark)
+    texts = _table(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", "text")
+    texts.repartition(1).write.partitionBy("doc_id").text(f"{folder}/files")
+    preparation.prepare_folder(spark, f"{folder}/files", ByLength(), f"{folder}/mentions.tsv")
+    rows = delimited.read_delimited(spark, f"{folder}/mentions.tsv", multi_line=False)
+    whole = lambda c: F.col(c).cast("bigint").alias(c)
+    number = F.regexp_extract("file_path", "doc_id=([0-9]+)/", 1).cast("bigint")
+    return rows.select(number.alias("doc_id"), schema.SENTENCE, schema.ENTITY, whole(schema.START), whole(schema.END), schema.TYPE)
 
 
 def q_map_schema(spark, sf):
@@ -194,9 +190,10 @@ def q_map_schema(spark, sf):
 
 
 def q_read_delimited(spark, sf):
-    """The conversations, written as TSV and read again."""
+    """The conversations with blanks around their texts, written as TSV and read again."""
     folder = shared_folder(spark) + "/conversations.tsv"
-    delimited.write_tsv(_table(spark, sf, "conversations"), folder)
+    rows = _table(spark, sf, "conversations").withColumn("text", F.concat(F.lit("  "), "text", F.lit(" ")))
+    delimited.write_tsv(rows, folder)
     return delimited.read_delimited(spark, folder)
 
 
@@ -247,8 +244,8 @@ def q_encode_hashed(spark, sf):
 def q_encode_distinct(spark, sf):
     """Each distinct mention encoded once and brought back to its rows."""
     rows = plugins.encode_distinct(_mentions(spark, sf).withColumnRenamed(schema.ENTITY, "mention"), "mention", "vec", ENCODER)
-    top = F.array_max("vec").cast("double")
-    return rows.select("document_id", "sentence_no", "mention", F.round(top, 6).alias("largest"))
+    cells = rows.select(*ORDER[:3], "mention", F.posexplode("vec").alias("dim", "x")).where(F.col("x") != 0)
+    return cells.withColumn("value", F.round(F.col("x").cast("double"), 6)).drop("x")
 
 
 def q_l2_normalize(spark, sf):
@@ -457,21 +454,25 @@ def q_index_roundtrip(spark, sf):
     store = CorpusStore(spark, shared_folder(spark))
     rows = _indexed(spark, sf).withColumn("corpus_id", F.col("source_language"))
     store.save_index(rows)
-    names = [r[0] for r in rows.select("corpus_id").distinct().collect()]
-    parts = [store.load_index(name) for name in sorted(names)]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    length = F.round(vectors.norm(F.col("combined_vec")), 4)
-    return whole.select("corpus_id", "row_id", schema.ENTITY, length.alias("length"))
+    names = _table(spark, sf, "documents").select("lang").distinct()
+    # A corpus is a language, so few names reach the driver.
+    parts = [store.load_index(r.lang) for r in names.orderBy("lang").collect() if store.has_index(r.lang)]
+    whole = reduce(DataFrame.unionByName, parts)
+    cells = whole.select("corpus_id", "row_id", schema.ENTITY, F.posexplode("combined_vec").alias("dim", "x")).where(F.col("x") != 0)
+    return cells.withColumn("value", F.round(F.col("x").cast("double"), 6)).drop("x")
 
 
 def q_corpus_stats(spark, sf):
     """A corpus per language of the documents; those with mentions are indexed."""
     store = CorpusStore(spark, shared_folder(spark))
     store.save_index(_mentions(spark, sf).withColumn("corpus_id", F.col("source_language")))
-    for row in _table(spark, sf, "documents").select("lang").distinct().collect():
-        store.register(corpus_id=row.lang, name=row.lang.upper(), dataset_path=sf, encoder="hashed_trigram")
+    langs = _table(spark, sf, "documents").select("lang").distinct()
+    store.register_all(
+        langs.select(
+            F.col("lang").alias("corpus_id"), F.upper("lang").alias("name"), F.lit(sf).alias("dataset_path"),
+            F.lit("hashed_trigram").alias("encoder"),
+        )
+    )
     return store.status().select("corpus_id", "name", "rows", "indexed")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from spanloom.functions.text import BLANKS
-from spanloom.sources.schema import NULL_TOKENS
-
-_BLANKS = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+# Fixed values, written out again so that a fault of the engine's lists shows.
+BLANKS = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288]
+NULL_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+    "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
+_BLANKS = " || ".join(f"chr({c})" for c in BLANKS)
 _WORD = "[A-Za-zÀ-ÿ]{8,}"
 _DIM = 256
 
@@ -25,16 +29,18 @@ sentences AS (
   WHERE length(trim(s, {_BLANKS})) > 0)"""
 
 MENTIONS = SENTENCES + f""",
+located AS (
+  SELECT *, regexp_extract_all(sentence, '{_WORD}') AS texts, regexp_split_to_array(sentence, '{_WORD}') AS gaps FROM sentences),
 words AS (
-  SELECT doc_id, lang, source, sentence_no, sentence,
-         unnest(list_distinct(regexp_extract_all(sentence, '{_WORD}'))) AS term
-  FROM sentences),
-terms AS (SELECT lower(term) AS folded FROM words GROUP BY lower(term) HAVING count(*) >= 10),
+  SELECT doc_id, lang, source, sentence_no, sentence, texts[i] AS term,
+         CAST(list_sum([length(g) for g in gaps[1:i]]) + coalesce(list_sum([length(h) for h in texts[1:i - 1]]), 0) AS BIGINT) AS s
+  FROM (SELECT *, unnest(range(1, len(texts) + 1)) AS i FROM located)),
+terms AS (
+  SELECT lower(term) AS folded FROM (SELECT DISTINCT doc_id, sentence_no, term FROM words) GROUP BY ALL HAVING count(*) >= 10),
 mentions AS (
   SELECT doc_id AS document_id, lang AS source_language, source, sentence_no,
          sentence AS clean_mention_sentence, term AS clean_entity_mention,
-         strpos(sentence, term) - 1 AS mention_start,
-         strpos(sentence, term) - 1 + length(term) AS mention_end, 'TERM' AS entity_type
+         s AS mention_start, s + length(term) AS mention_end, 'TERM' AS entity_type
   FROM words JOIN terms ON folded = lower(term)),
 numbered AS (
   SELECT *, row_number() OVER (ORDER BY document_id, sentence_no, mention_start, clean_entity_mention) - 1 AS row_id
@@ -217,10 +223,12 @@ counted AS (
 spans AS (
   SELECT doc_id, sentence_no, any_value(sentence) AS sentence, min(s) AS s, arg_max(s + size, tok_idx) AS t,
          arg_min(type, tok_idx) AS type
-  FROM counted GROUP BY doc_id, sentence_no, e)
-SELECT doc_id, sentence_no, substr(sentence, CAST(s + 1 AS BIGINT), CAST(t - s AS BIGINT)) AS clean_entity_mention,
-       CAST(s AS BIGINT) AS mention_start, CAST(t AS BIGINT) AS mention_end, type AS entity_type
-FROM spans WHERE length(trim(substr(sentence, CAST(s + 1 AS BIGINT), CAST(t - s AS BIGINT)), """ + _BLANKS + ")) > 0"
+  FROM counted GROUP BY doc_id, sentence_no, e)"""
+ENTITIES = SPANS + """,
+entities AS (
+  SELECT doc_id, sentence_no, sentence, CAST(s AS BIGINT) AS mention_start, CAST(t AS BIGINT) AS mention_end, type AS entity_type,
+         substr(sentence, CAST(s + 1 AS BIGINT), CAST(t - s AS BIGINT)) AS clean_entity_mention
+  FROM spans WHERE length(trim(substr(sentence, CAST(s + 1 AS BIGINT), CAST(t - s AS BIGINT)), """ + _BLANKS + ")) > 0)"
 
 
 def _nulls(column: str) -> str:
@@ -242,10 +250,21 @@ ORACLES: dict[str, str] = {
         """SELECT document_id, source_language, sentence_no, clean_mention_sentence, clean_entity_mention,
        mention_start, mention_end, entity_type FROM mentions""",
     ),
-    "merge_tag_spans": "WITH " + SPANS,
-    "tag_mentions": "WITH " + SPANS,
+    "merge_tag_spans": _rows(
+        SPANS,
+        """SELECT doc_id, sentence_no, CAST(s AS BIGINT) AS mention_start, CAST(t AS BIGINT) AS mention_end,
+       type AS entity_type FROM spans""",
+    ),
+    "tag_mentions": _rows(
+        ENTITIES, "SELECT doc_id, sentence_no, clean_entity_mention, mention_start, mention_end, entity_type FROM entities"
+    ),
+    "prepare_folder": _rows(
+        ENTITIES,
+        """SELECT doc_id, sentence AS clean_mention_sentence, clean_entity_mention, mention_start, mention_end, entity_type
+FROM entities""",
+    ),
     "map_schema": "SELECT doc_id AS document_id, text AS clean_mention_sentence, lang, source, n_chars FROM documents",
-    "read_delimited": "SELECT " + ", ".join(_nulls(c) for c in ("conv_id", "turn", "role", "text")) + " FROM conversations",
+    "read_delimited": "SELECT " + ", ".join(_nulls(c) for c in ("conv_id", "turn", "role")) + ", '  ' || text || ' ' AS text FROM conversations",
     "load_mentions": _rows(
         MENTIONS,
         """SELECT clean_mention_sentence, clean_entity_mention, mention_start, mention_end, entity_type,
@@ -268,8 +287,8 @@ FROM rows""",
     ),
     "encode_distinct": _rows(
         MENTION_VECS,
-        """SELECT document_id, sentence_no, mention, round(CAST(list_max(vec) AS DOUBLE), 6) AS largest
-FROM rows JOIN m ON m.item = rows.mention""",
+        """SELECT document_id, sentence_no, mention_start, mention, dim, round(CAST(x AS DOUBLE), 6) AS value
+FROM (SELECT *, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM rows JOIN m ON m.item = rows.mention) WHERE x <> 0""",
     ),
     "l2_normalize": _rows(
         """tripled AS (SELECT vec_id AS row_id, [CAST(x * CAST(3 AS FLOAT) AS FLOAT) for x in embedding] AS v
@@ -451,8 +470,9 @@ FROM (SELECT label, count(*) AS size FROM embeddings GROUP BY label) GROUP BY si
         "",
     ),
     "index_roundtrip": _rows(
-        MENTIONS,
-        "SELECT source_language AS corpus_id, row_id, clean_entity_mention, CAST(1.0 AS DOUBLE) AS length FROM numbered",
+        BLENDS,
+        """SELECT source_language AS corpus_id, row_id, clean_entity_mention, dim, round(CAST(x AS DOUBLE), 6) AS value
+FROM (SELECT row_id, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM blends) JOIN numbered USING (row_id) WHERE x <> 0""",
     ),
     "corpus_stats": _rows(
         MENTIONS

@@ -1,14 +1,15 @@
-"""Command line: `python -m spanloom --store FOLDER {list,create,update,delete,map,query} …`."""
+"""Command line: `python -m spanloom --store FOLDER {list,create,update,delete,map,prepare,query} …`."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 
 from spanloom.functions import plugins
 from spanloom.operators import cluster, cooccur, search
 from spanloom.options import Options
-from spanloom.plans import index, interrogate
+from spanloom.plans import index, interrogate, preparation
 from spanloom.session import get_session
 from spanloom.sources import delimited
 from spanloom.sources.corpora import CorpusStore
@@ -31,6 +32,11 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
     create.add_argument("--clustering-method", choices=sorted(cluster.METHODS), default=Options.clustering_method)
     create.add_argument("--encoder", default=Options.encoder)
     create.add_argument("--alpha-span-weight", type=float)
+    create.add_argument("--split-files", action="store_true", help="the files have no line breaks within values")
+    tagged = does.add_parser("prepare")
+    tagged.add_argument("folder", help="text files")
+    tagged.add_argument("target", help="where the mention table goes")
+    tagged.add_argument("--tagger", required=True, help="module:name of a tagger class")
     ask = does.add_parser("query")
     ask.add_argument("corpus")
     ask.add_argument("terms", nargs="+")
@@ -60,8 +66,11 @@ def main(given: list[str] | None = None) -> None:
             options = Options(**{**options.__dict__, "alpha_span_weight": args.alpha_span_weight})
         index.create_corpus(
             spark, store, args.corpus, args.dataset, method=args.clustering_method, encoder=args.encoder,
-            column_mapping=args.column_mapping, delimiter=args.delimiter, options=options,
+            column_mapping=args.column_mapping, delimiter=args.delimiter, options=options, multi_line=not args.split_files,
         )
+    elif args.does == "prepare":
+        module, _, name = args.tagger.partition(":")
+        preparation.prepare_folder(spark, args.folder, getattr(importlib.import_module(module), name)(), args.target)
     else:
         terms = spark.createDataFrame(list(enumerate(args.terms)), "query_id bigint, term string")
         reranker = plugins.reranker_named(args.reranker or options.reranker)

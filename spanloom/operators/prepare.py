@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import plugins, text
@@ -26,6 +30,24 @@ def _words(sentences: DataFrame, pattern: str) -> DataFrame:
     return sentences.select("*", F.explode(found).alias("_word"))
 
 
+PLACES = "array<struct<start: int, end: int>>"
+
+
+def _places(pattern: str) -> Column:
+    """The matches of a pattern in a sentence as (start, end), in their order."""
+    compiled = re.compile(pattern)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            found = [
+                [{"start": m.start(), "end": m.end()} for m in compiled.finditer(sentence or "")] for sentence in batch.to_pylist()
+            ]
+            yield pa.array(found, kind)
+
+    return F.arrow_udf(run, PLACES)(F.col("sentence"))
+
+
 def _folded(word: str, ignore_case: bool) -> Column:
     return F.lower(word) if ignore_case else F.col(word)
 
@@ -36,82 +58,104 @@ def frequent_words(sentences: DataFrame, pattern: str, min_count: int, ignore_ca
     return terms.agg(F.count(F.lit(1)).alias("sentences")).where(F.col("sentences") >= min_count)
 
 
-def gazetteer_mentions(sentences: DataFrame, terms: DataFrame, pattern: str, ignore_case: bool = False) -> DataFrame:
-    """One mention per sentence and word that is in the term table, at its first position.
+def gazetteer_mentions(
+    sentences: DataFrame, terms: DataFrame, pattern: str, ignore_case: bool = False, most_words: int = 1
+) -> DataFrame:
+    """One mention for each occurrence of a term of the table, at its own place.
 
-    Words are the matches of `pattern`; `terms` has the column term and may have entity_type. The term table is
-    joined as Spark sees fit: it is broadcast only if Spark finds it small.
+    Words are the matches of `pattern`, which Spark and Python must read alike, so no term is found inside a word. A term may have up to `most_words` of them;
+    what stands between the words must be the same in the term. Of terms that overlap all are found. `terms` has the
+    column term and may have entity_type. The term table is joined as Spark sees fit: it is broadcast only if Spark
+    finds it small.
     """
     kind = F.col("entity_type") if "entity_type" in terms.columns else F.lit("TERM")
     typed = terms.select(_folded("term", ignore_case).alias("_term"), kind.alias(schema.TYPE))
-    found = _words(sentences, pattern).withColumn("_term", _folded("_word", ignore_case)).join(typed, "_term")
-    start = F.instr(F.col("sentence"), F.col("_word")) - 1
+    words = sentences.withColumn("_places", _places(pattern))
+    spans = F.concat(*[_runs(n) for n in range(most_words)])
+    found = words.withColumn("_span", F.explode(spans)).withColumn("_word", _cut(F.col("_span")["start"], F.col("_span")["end"]))
+    found = found.withColumn("_term", _folded("_word", ignore_case)).join(typed, "_term")
     return found.select(
         *[c for c in sentences.columns if c != "sentence"],
         F.col("sentence").alias(schema.SENTENCE),
         F.col("_word").alias(schema.ENTITY),
-        start.alias(schema.START),
-        (start + F.length("_word")).alias(schema.END),
+        F.col("_span")["start"].alias(schema.START),
+        F.col("_span")["end"].alias(schema.END),
         schema.TYPE,
     )
 
 
-def merge_tag_spans(tokens: DataFrame, key: str | list[str] = "sent_id") -> DataFrame:
-    """Join tagged tokens (key, tok_idx, label, start, end) to entity spans (key, start, end, type).
+def _runs(more: int) -> Column:
+    """The places of each word together with the `more` words after it."""
+    firsts = F.slice("_places", F.lit(1), F.greatest(F.size("_places") - more, F.lit(0)))
+    return F.transform(
+        firsts, lambda first, i: F.struct(first["start"].alias("start"), F.get("_places", i + more)["end"].alias("end"))
+    )
+
+
+def _cut(start: Column, end: Column) -> Column:
+    return F.substring(F.col("sentence"), (start + 1).cast("int"), (end - start).cast("int"))
+
+
+SPANS = "array<struct<start: int, end: int, type: string>>"
+
+
+def spans_of(tokens: Iterable[tuple[str, int, int]]) -> list[dict]:
+    """The entity spans of the tokens (label, start, end) of one sentence.
 
     A zero-width token or the label O closes the open entity. A token goes on with it if its type equals the
     type of the entity or its label starts with I-; the entity keeps the type of its first token.
     """
+    spans, extending = [], False
+    for label, start, end in tokens:
+        kind = label.rsplit("-", 1)[-1]
+        if label == "O" or start == end:
+            extending = False
+        elif extending and (spans[-1]["type"] == kind or label[:2] == "I-"):
+            spans[-1]["end"] = end
+        else:
+            spans.append({"start": start, "end": end, "type": kind})
+            extending = True
+    return spans
+
+
+def merged_spans(tokens: Column) -> Column:
+    """`spans_of` an array of tokens (label, start, end), in the row."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
+        for batch in batches:
+            rows = ([(t["label"], t["start"], t["end"]) for t in row or ()] for row in batch.to_pylist())
+            yield pa.array([spans_of(row) for row in rows], kind)
+
+    return F.arrow_udf(run, SPANS)(tokens)
+
+
+def merge_tag_spans(tokens: DataFrame, key: str | list[str] = "sent_id") -> DataFrame:
+    """Join a table of tagged tokens (key, tok_idx, label, start, end) to entity spans (key, start, end, type).
+
+    The tokens of a sentence are brought together once, without other columns, and merged in their row.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    # One partitioning and one sort serve all windows and the grouping after them.
-    order = Window.partitionBy(*keys).orderBy("tok_idx")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    tagged = tokens.select(
-        *keys, "tok_idx", "start", "end",
-        ((F.col("label") != "O") & (F.col("start") != F.col("end"))).alias("_entity"),
-        F.element_at(F.split("label", "-"), -1).alias("_type"),
-        (~F.startswith("label", F.lit("I-"))).alias("_opens"),
-    )
-    first = F.col("_entity") & ~F.coalesce(F.lag("_entity").over(order), F.lit(False))
-    marked = tagged.withColumn("_first", first)
-    # A token that goes on by its I- label leaves the type of the entity; any other sets it or equals it.
-    sets_type = F.col("_entity") & (F.col("_first") | F.col("_opens"))
-    opened = marked.withColumn("_open_type", F.last(F.when(sets_type, F.col("_type")), ignorenulls=True).over(before))
-    begins = F.col("_first") | (F.col("_entity") & F.col("_opens") & (F.col("_type") != F.col("_open_type")))
-    numbered = opened.withColumn("_number", F.count_if(begins).over(order)).where("_entity")
-    return (
-        numbered.groupBy(*keys, "_number")
-        .agg(
-            F.min("start").alias("start"),
-            F.max_by("end", "tok_idx").alias("end"),
-            F.min_by("_type", "tok_idx").alias("type"),
-        )
-        .drop("_number")
+    listed = tokens.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("tok_idx", "label", "start", "end"))).alias("_tokens")
     )
+    return listed.select(*keys, F.explode(merged_spans(F.col("_tokens"))).alias("_span")).select(*keys, "_span.*")
 
 
-def tag_mentions(sentences: DataFrame, tagger: plugins.Tagger, keys: list[str]) -> DataFrame:
-    """Run a tagger over the sentences and give one row per entity; `keys` identify a sentence."""
-    tokens = sentences.select(
-        *keys, F.posexplode(plugins.tag_column(F.col("sentence"), tagger)).alias("tok_idx", "_token")
-    ).select(*keys, "tok_idx", "_token.*")
-    return entity_rows(sentences, merge_tag_spans(tokens, keys), keys)
-
-
-def entity_rows(sentences: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Cut the spans out of their sentences; blank ones are dropped."""
-    cutout = F.substring(F.col("sentence"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    kept = [c for c in sentences.columns if c not in keys and c != "sentence"]
-    return (
-        sentences.join(spans, keys)
-        .select(
-            *keys,
-            *kept,
-            F.col("sentence").alias(schema.SENTENCE),
-            cutout.alias(schema.ENTITY),
-            F.col("start").alias(schema.START),
-            F.col("end").alias(schema.END),
-            F.col("type").alias(schema.TYPE),
-        )
-        .where(F.length(text.strip(F.col(schema.ENTITY))) > 0)
-    )
+def tag_mentions(sentences: DataFrame, tagger: plugins.Tagger) -> DataFrame:
+    """Run a tagger over the sentences and give one row per entity; tokens and spans stay in the row of the sentence."""
+    return entity_rows(sentences, plugins.tag_column(F.col("sentence"), tagger))
+
+
+def entity_rows(sentences: DataFrame, tokens: Column) -> DataFrame:
+    """One row for each entity of the tokens of a sentence; blank ones are dropped."""
+    kept = [c for c in sentences.columns if c != "sentence"]
+    spans = sentences.withColumn("_span", F.explode(merged_spans(tokens)))
+    return spans.select(
+        *kept,
+        F.col("sentence").alias(schema.SENTENCE),
+        _cut(F.col("_span")["start"], F.col("_span")["end"]).alias(schema.ENTITY),
+        F.col("_span")["start"].alias(schema.START),
+        F.col("_span")["end"].alias(schema.END),
+        F.col("_span")["type"].alias(schema.TYPE),
+    ).where(F.length(text.strip(F.col(schema.ENTITY))) > 0)

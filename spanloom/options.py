@@ -21,7 +21,6 @@ class Options:
     kmeans_rows_per_centre: int = 10
     kmeans_max_centres: int = 50_000
     kmeans_iterations: int = 20
-    kmeans_points_per_centre: int = 10_000
     seed: int = 42
     clustering_method: str = "mutual_knn"
     encoder: str = "hashed_trigram"

@@ -104,10 +104,10 @@ def create_corpus(
     delimiter: str | None = None,
     options: Options = DEFAULTS,
     index_now: bool = True,
+    multi_line: bool = True,
 ) -> str:
-    """Register a corpus, build its index and return its id."""
+    """Register a corpus with its settings, build its index and return its id."""
     corpus_id = clean_corpus_id(name)
-    now = _now()
     store.register(
         corpus_id=corpus_id,
         name=name.strip(),
@@ -117,8 +117,11 @@ def create_corpus(
         alpha=options.alpha_span_weight,
         column_mapping=column_mapping,
         delimiter=delimiter,
-        created_at=now,
-        last_updated=now,
+        multi_line=multi_line,
+        similarity_threshold=options.similarity_threshold,
+        reduced_dimensions=options.reduced_dimensions,
+        neighbours=options.neighbours,
+        created_at=_now(),
     )
     if index_now:
         update_corpus(spark, store, corpus_id, options)
@@ -126,16 +129,26 @@ def create_corpus(
 
 
 def update_corpus(spark: SparkSession, store: CorpusStore, corpus_id: str, options: Options = DEFAULTS) -> None:
-    """Build the index of a registered corpus again, with the settings it was created with."""
+    """Build the index of a registered corpus again, with the settings it was created with; `options` has the others.
+
+    A build without a reduction removes that of an earlier one, as queries are reduced by what is stored.
+    """
     meta = store.get(corpus_id)
     if meta is None:
         raise LookupError(f"corpus {corpus_id!r} not found")
-    mentions = delimited.load_mentions(spark, meta.dataset_path, meta.column_mapping, meta.delimiter)
-    settings = Options(**{**options.__dict__, "alpha_span_weight": meta.alpha})
+    multi_line = meta.multi_line is not False
+    mentions = delimited.load_mentions(spark, meta.dataset_path, meta.column_mapping, meta.delimiter, multi_line)
+    kept = {
+        "alpha_span_weight": meta.alpha, "similarity_threshold": meta.similarity_threshold,
+        "reduced_dimensions": meta.reduced_dimensions, "neighbours": meta.neighbours,
+    }
+    settings = Options(**{**options.__dict__, **{k: v for k, v in kept.items() if v is not None}})
     rows, model = build_index(mentions, plugins.encoder_named(meta.encoder), meta.clustering_method, settings)
     store.save_index(rows, corpus_id)
     if model is not None:
         model.write().overwrite().save(store.pca_path(corpus_id))
+    else:
+        store.drop_pca(corpus_id)
     store.register(**{**meta.asDict(), "last_updated": _now()})
 
 

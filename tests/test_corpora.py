@@ -45,9 +45,12 @@ def test_life_of_a_corpus(spark, tmp_path, dataset):
     assert len(rows.first().combined_vec) == 4 and store.has_pca(first)
 
     before = store.get(first)
-    index.update_corpus(spark, store, first, options)
+    assert store.get("second").last_updated is None and before.similarity_threshold == 0.5
+    # The settings of the corpus hold, whatever the options of the call are.
+    index.update_corpus(spark, store, first, Options())
     after = store.get(first)
     assert after.created_at == before.created_at and after.last_updated > before.last_updated
+    assert len(store.load_index(first).first().combined_vec) == 4 and store.has_pca(first)
     assert store.status().where("corpus_id = 'first_one'").first().rows == 6
 
     terms = spark.createDataFrame([(1, "European Parliament")], "query_id int, term string")
@@ -60,6 +63,11 @@ def test_life_of_a_corpus(spark, tmp_path, dataset):
     entities, nodes, edges = interrogate.explore(store, first, hits, ignore_case=True, use_medoids=False)
     assert entities.first().entity_mention == "European Parliament" and nodes.count() == 2
     assert [(r.u, r.v, r.weight) for r in edges.collect()] == [("European Parliament", "Red Cross", 1)]
+    # A build without a reduction leaves none behind.
+    store.register(**{**after.asDict(), "reduced_dimensions": 10_000})
+    index.update_corpus(spark, store, first)
+    assert not store.has_pca(first)
+    assert interrogate.query_corpus(store, first, terms, k=2, entity_vector_only=False, min_score=-1.0).count() == 2
     target = spark.createDataFrame([(1, "the Red Cross helped")], "query_id int, sentence string")
     assert interrogate.similar_to(store, first, target, 1).first().clean_mention_sentence == "the Red Cross helped"
 
@@ -95,12 +103,13 @@ def test_folder_to_mentions(spark, tmp_path):
                 [("B-X" if w[0].isupper() else "O", s.index(w), s.index(w) + len(w)) for w in s.rstrip(".").split()] for s in sentences
             ]
 
-    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "a.txt").write_text("we met Ada.\nthen Bob came. nobody else")
+    (tmp_path / "in" / "deep" / "a.txt").write_text("Then Paris.")
     preparation.prepare_folder(spark, str(tmp_path / "in"), Capitals(), str(tmp_path / "out.tsv"))
-    rows = delimited.load_mentions(spark, str(tmp_path / "out.tsv")).orderBy("row_id").collect()
-    assert [(r.clean_entity_mention, r.mention_start, r.mention_end, r.document_id) for r in rows] == [
-        ("Ada", 7, 10, "a.txt"), ("Bob", 5, 8, "a.txt"),
+    rows = delimited.load_mentions(spark, str(tmp_path / "out.tsv")).collect()
+    assert sorted((r.clean_entity_mention, r.mention_start, r.mention_end, r.document_id) for r in rows) == [
+        ("Ada", 7, 10, "a.txt"), ("Bob", 5, 8, "a.txt"), ("Then Paris", 0, 10, "a.txt"),
     ]
 
 

@@ -64,11 +64,16 @@ def test_clean_and_split(spark):
 
 
 def test_gazetteer(spark):
-    sentences = spark.createDataFrame([(1, "Paris and Rome, Paris."), (2, "no name")], "doc_id int, sentence string")
+    sentences = spark.createDataFrame([(1, "Parisian Paris and Rome, Paris."), (2, "no name"), (3, None)], "doc_id int, sentence string")
     terms = spark.createDataFrame([("paris", "LOC"), ("rome", "LOC")], "term string, entity_type string")
     rows = prepare.gazetteer_mentions(sentences, terms, "[A-Za-z]+", ignore_case=True)
     assert sorted((r.clean_entity_mention, r.mention_start, r.mention_end, r.entity_type) for r in rows.collect()) == [
-        ("Paris", 0, 5, "LOC"), ("Rome", 10, 14, "LOC"),
+        ("Paris", 9, 14, "LOC"), ("Paris", 25, 30, "LOC"), ("Rome", 19, 23, "LOC"),
+    ]
+    longer = spark.createDataFrame([("Rome, Paris",), ("Paris and Rome",), ("Rome Paris",)], "term string")
+    rows = prepare.gazetteer_mentions(sentences, longer, "[A-Za-z]+", most_words=3)
+    assert sorted((r.clean_entity_mention, r.mention_start, r.mention_end) for r in rows.collect()) == [
+        ("Paris and Rome", 9, 23), ("Rome, Paris", 19, 30),
     ]
     assert prepare.gazetteer_mentions(sentences, terms, "[A-Za-z]+").count() == 0
     words = prepare.frequent_words(sentences, "[A-Za-z]+", 1)
@@ -121,7 +126,9 @@ def test_tagger_plugin(spark):
             return out
 
     sentences = spark.createDataFrame([(1, "we met Ada Lovelace today"), (2, "  "), (3, None)], "id int, sentence string")
-    rows = prepare.tag_mentions(sentences, Capitals(), ["id"]).collect()
+    rows = prepare.tag_mentions(sentences, Capitals())
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    rows = rows.collect()
     assert [(r.id, r.clean_entity_mention, r.mention_start, r.entity_type) for r in rows] == [(1, "Ada Lovelace", 7, "NAME")]
 
 
