@@ -272,12 +272,15 @@ def q_mean_pool(spark, sf):
 
 
 def q_pca_reduce(spark, sf):
-    """The embeddings in 16 principal dimensions; the sign of a component is free, so entries are given as sizes."""
-    rows = cut(_embeddings(spark, sf))
-    reduced = index.reduce_vectors(rows, index.fit_reduction(rows, 16, "vec"), "vec")
-    return reduced.select("row_id", F.posexplode("vec").alias("dim", "x")).select(
-        "row_id", "dim", F.round(F.abs("x"), 4).alias("size")
-    )
+    """The cosine of each row and the next one after the reduction.
+
+    The vectors get a constant entry, so a reduction to one dimension less loses nothing: what is left is the centring,
+    and the angles between rows do not depend on the axes.
+    """
+    rows = cut(_embeddings(spark, sf).withColumn("vec", F.concat("vec", F.array(F.lit(1.0).cast("float")))))
+    reduced = cut(index.reduce_vectors(rows, index.fit_reduction(rows, 64, "vec"), "vec"))
+    after = reduced.select((F.col("row_id") - 1).alias("row_id"), F.col("vec").alias("next"))
+    return reduced.join(after, "row_id").select("row_id", F.round(vectors.dot(F.col("vec"), F.col("next")), 4).alias("cosine"))
 
 
 def q_cosine_pairs(spark, sf):
@@ -400,7 +403,9 @@ def q_cluster_stats(spark, sf):
 
 
 def _cooccurring(found):
-    return found.select("entity_mention", "absolute_count", F.round("frequency_pct", 6).alias("frequency_pct"))
+    """The rows with their place in the order of the result."""
+    placed = number_rows(found.withColumn("_less", -F.col("absolute_count")), ["_less", "first_seen"], "place")
+    return placed.select("entity_mention", "absolute_count", F.round("frequency_pct", 6).alias("frequency_pct"), "place")
 
 
 def q_cooccurring_entities(spark, sf):

@@ -171,7 +171,8 @@ forms AS (
   SELECT key, clean_entity_mention AS form, count(*) AS n, min(row_id) AS first FROM seen GROUP BY ALL),
 shown AS (SELECT key, first(form ORDER BY n DESC, first) AS display FROM forms GROUP BY key)
 SELECT s.display AS entity_mention, count(DISTINCT clean_mention_sentence) AS absolute_count,
-       round(count(DISTINCT clean_mention_sentence) / any_value(total.n) * 100.0, 6) AS frequency_pct
+       round(count(DISTINCT clean_mention_sentence) / any_value(total.n) * 100.0, 6) AS frequency_pct,
+       row_number() OVER (ORDER BY count(DISTINCT clean_mention_sentence) DESC, min(row_id)) - 1 AS place
 FROM seen JOIN shown s USING (key), total GROUP BY s.key, s.display"""
 
 NETWORK = """,
@@ -303,6 +304,15 @@ unit AS (SELECT row_id, [CAST(x / length AS FLOAT) for x in v] AS vec
          CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS mask
   FROM embeddings)
 SELECT label AS text_id, dim, round(sum(x * mask) / greatest(sum(mask), 1e-9), 6) AS value FROM cells GROUP BY label, dim""",
+    "pca_reduce": _rows(
+        EMBEDDINGS
+        + """,
+cells AS (SELECT row_id, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM vecs),
+middle AS (SELECT dim, avg(x) AS m FROM cells GROUP BY dim),
+centred AS (SELECT row_id, list(x - m ORDER BY dim) AS v FROM cells JOIN middle USING (dim) GROUP BY row_id)""",
+        """SELECT a.row_id, round(list_cosine_similarity(a.v, b.v), 4) AS cosine
+FROM centred a JOIN centred b ON b.row_id = a.row_id + 1""",
+    ),
     "cosine_pairs": _rows(
         BOTH_VECS,
         f"""SELECT {_ORDER}, {dot('m.vec', 'c.vec')} AS cosine

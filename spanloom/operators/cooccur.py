@@ -47,7 +47,7 @@ def cooccurring_entities(
 
     `absolute_count` is the number of hit sentences with the entity. `order_by` names the columns that give
     the order of the corpus rows; it decides ties. The order of the result is (absolute_count descending,
-    first_seen), and `place` holds it.
+    first_seen); `ranked` sorts by it.
     """
     # The hits are written down: the result behind them is costly and read twice, and their size decides the join.
     hits = None if results is None else cut(hit_sentences(results))
@@ -122,18 +122,19 @@ def network(
     hits = None if results is None else cut(hit_sentences(results))
     rows = _labels(corpus, hits, use_medoids, ignore_case, order_by)
     pairs = rows.select("sentence", "key").distinct()
-    top = _top_keys(pairs, max_nodes)
+    # Written down, as nodes, names and pairs all start from it; its size decides whether it is broadcast.
+    top = cut(_top_keys(pairs, max_nodes))
+    keys = broadcast_if_small(top.select("key"))
     if ignore_case:
-        # `top` has at most `max_nodes` rows, so it can go to all executors.
-        shown = _display(rows.join(F.broadcast(top.select("key")), "key", "left_semi"))
-        named = top.join(shown, "key")
+        shown = _display(rows.join(keys, "key", "left_semi"))
+        named = cut(top.join(shown, "key"))
     else:
         named = top.withColumn("display", F.col("key"))
     nodes = named.select(
         F.col("display").alias("label"), "weight", F.greatest(F.lit(300), F.least(F.lit(3000), F.col("weight") * 300)).alias("size")
     )
     sets = (
-        pairs.join(F.broadcast(top.select("key")), "key", "left_semi")
+        pairs.join(keys, "key", "left_semi")
         .groupBy("sentence")
         .agg(F.sort_array(F.collect_list("key")).alias("keys"))
         .where(F.size("keys") > 1)
@@ -142,12 +143,12 @@ def network(
     )
     firsts = sets.select("keys", "n", F.posexplode("keys").alias("at", "a"))
     linked = firsts.select("a", "n", F.explode(F.expr("slice(keys, at + 2, size(keys))")).alias("b"))
-    weights = linked.groupBy("a", "b").agg(F.sum("n").alias("weight"))
+    weights = cut(linked.groupBy("a", "b").agg(F.sum("n").alias("weight")))
     heaviest = weights.agg(F.max("weight")).scalar()
-    names = named.select("key", "display")
+    names = broadcast_if_small(named.select("key", "display"))
     edges = (
-        weights.join(F.broadcast(names.toDF("a", "u")), "a")
-        .join(F.broadcast(names.toDF("b", "v")), "b")
+        weights.join(names.toDF("a", "u"), "a")
+        .join(names.toDF("b", "v"), "b")
         .select("u", "v", "weight", F.greatest(F.lit(1.0), F.col("weight") / heaviest * 4.0).alias("width"))
     )
     return nodes, edges

@@ -3,7 +3,7 @@
 Scores are inner products in double precision, rounded to 6 decimals; equal scores go by the smaller id.
 Two physical forms give the same rows:
 
-- scan: one side has at most `BROADCAST_ROWS` rows and is sent to all executors; the other is scanned in place;
+- scan: one side is small in rows and bytes and is sent to all executors; the other is scanned in place;
 - blocks: both sides are dealt into blocks by a hash of the id, each pair of blocks meets in one task, and
   only the best `k` of a row leave the task. No pair of rows is ever written out beyond that.
 """
@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from spanloom.session import BROADCAST_ROWS
 
-# Bytes of one block of vectors in double precision, and of one slab of scores.
-BLOCK_BYTES = 16 << 20
+# Bytes of one block of vectors in double precision, and cells of one slab of scores: what a task holds at once.
+BLOCK_BYTES = 64 << 20
 SLAB_CELLS = 4 << 20
+# Bytes of a side that is sent to all executors, and entries that a task keeps for such a side.
+SIDE_BYTES = 64 << 20
+SIDE_ENTRIES = 8 << 20
 # Rows from which on cells of near vectors are worth their two extra passes.
 CELL_ROWS = 200_000
 # Buckets that share the work of ranking the rows of one query.
@@ -119,9 +122,13 @@ def _batch(found) -> pa.RecordBatch:
     )
 
 
-def _small(df: DataFrame):
-    """Ids and matrix of a table of at most `BROADCAST_ROWS` rows, else None."""
-    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+def _small(df: DataFrame, kept: int = 1):
+    """Ids and matrix of a table that is small enough to be sent to all executors, else None.
+
+    It is bounded in rows, in bytes of its vectors, and in the entries that a task keeps, `kept` for each row.
+    """
+    most = max(1, min(BROADCAST_ROWS, SIDE_BYTES // (8 * _dimensions(df)), SIDE_ENTRIES // max(1, kept)))
+    if df.limit(most + 1).count() > most:
         return None
     found = df.toArrow()
     return _ids(found.column(0).combine_chunks()), _matrix(found.column(1))
@@ -147,10 +154,13 @@ def _slots(df: DataFrame) -> int:
     return max(2, df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _block_rows(df: DataFrame) -> int:
+def _dimensions(df: DataFrame) -> int:
     first = df.limit(1).toArrow()
-    dim = len(first.column(1)[0]) if first.num_rows else 1
-    return max(1_024, BLOCK_BYTES // (8 * max(1, dim)))
+    return max(1, len(first.column(1)[0])) if first.num_rows else 1
+
+
+def _block_rows(df: DataFrame) -> int:
+    return max(1_024, BLOCK_BYTES // (8 * _dimensions(df)))
 
 
 def nearest(
@@ -174,7 +184,7 @@ def nearest(
         side = _small(right)
         if side is not None:
             return _scan_left(left, side, k, floor, above, earlier)
-        side = _small(left)
+        side = _small(left, k)
         if side is not None:
             return rank_best(_scan_right(side, right, k, floor, above, earlier), k)
     return rank_best(_blocks(left, right, k, floor, above, earlier), k)
@@ -220,11 +230,15 @@ def _blocks(left, right, k, floor, above, earlier):
     rows = _block_rows(right)
     lefts, rights = ceil(left.count() / rows) or 1, ceil(right.count() / rows) or 1
 
+    # Vectors travel as they came; they become doubles only where the two sides differ.
+    kinds = [df.schema[df.columns[1]].dataType.simpleString() for df in (left, right)]
+    kind = kinds[0] if kinds[0] == kinds[1] else "array<double>"
+
     def side(df, blocks, others, name, other, is_left):
         block = F.pmod(F.xxhash64(F.col(df.columns[0])), F.lit(blocks)).cast("int")
         return df.select(
             F.col(df.columns[0]).alias("id"),
-            F.col(df.columns[1]).cast("array<double>").alias("vec"),
+            F.col(df.columns[1]).cast(kind).alias("vec"),
             block.alias(name),
             F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other),
             F.lit(is_left).alias("is_left"),

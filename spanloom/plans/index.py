@@ -15,6 +15,7 @@ from spanloom.functions import plugins, text, vectors
 from spanloom.operators import cluster, medoids
 from spanloom.options import Options
 from spanloom.session import cut
+from spanloom.session import store as written
 from spanloom.sources import delimited
 from spanloom.sources.corpora import CorpusStore, clean_corpus_id
 
@@ -77,19 +78,19 @@ def build_index(
     distinct: bool = False,
 ) -> tuple[DataFrame, PipelineModel | None]:
     """Mentions with row_id → the rows of an index, and the reduction that was fitted."""
-    rows = cut(add_vectors(mentions, encoder, options.alpha_span_weight, distinct))
-    model = fit_reduction(rows, options.reduced_dimensions)
+    rows = written(add_vectors(mentions, encoder, options.alpha_span_weight, distinct).drop("context"))
+    # Reduction, clusters and medoids see ids, one vector and the mention only; the texts meet them once, at the end.
+    narrow = rows.select("row_id", "mention", "combined_vec")
+    model = fit_reduction(narrow, options.reduced_dimensions)
     if model is not None:
-        rows = cut(reduce_vectors(rows, model))
-    found = cut(cluster.cluster(rows.select("row_id", F.col("combined_vec").alias("vec")), method, options))
-    clustered = rows.join(found, "row_id", "left")
-    members = clustered.where(F.col("cluster_id").isNotNull())
-    best = cut(medoids.medoids(members.select("row_id", "cluster_id", F.col("combined_vec").alias("vec"), "mention")))
-    named = medoids.with_canonical_mention(members, best)
-    outside = clustered.where(F.col("cluster_id").isNull()).withColumn(
-        "cluster_canonical_mention", F.lit(None).cast("string")
-    )
-    return named.unionByName(outside).drop("context"), model
+        narrow = written(reduce_vectors(narrow, model))
+        rows = rows.drop("combined_vec").join(narrow.select("row_id", "combined_vec"), "row_id")
+    vecs = narrow.select("row_id", "mention", F.col("combined_vec").alias("vec"))
+    found = cut(cluster.cluster(vecs.select("row_id", "vec"), method, options))
+    total = found.count()
+    best = cut(medoids.medoids(vecs.join(found, "row_id"), total))
+    named = medoids.with_canonical_mention(found, best, total)
+    return rows.join(named, "row_id", "left"), model
 
 
 def create_corpus(

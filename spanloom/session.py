@@ -87,7 +87,10 @@ def store(df: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a materialised table for broadcast if its measured size is at most `most` bytes."""
-    sizes = [F.octet_length(c) if kind == "string" else F.lit(8) for c, kind in df.dtypes]
+    sizes = [
+        F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 16 if kind.startswith("array") else F.lit(8)
+        for c, kind in df.dtypes
+    ]
     row = sum((F.coalesce(size, F.lit(0)) for size in sizes), F.lit(16))
     measured = df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
     return F.broadcast(df) if measured <= most else df

@@ -9,9 +9,10 @@ from spanloom.session import get_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_session(
-        "tests", "local[3]", spark__sql__shuffle__partitions="3", spark__driver__memory="8g", spark__ui__enabled="false"
+        "tests", "local[3]", spark__sql__shuffle__partitions="3", spark__driver__memory="8g", spark__ui__enabled="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

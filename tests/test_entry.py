@@ -18,10 +18,11 @@ def base():
 
 def test_names():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"pca_reduce", "cluster_agglomerative", "cluster_kmeans", "build_index"}
+    without = {name for name in set(QUERIES) - set(ORACLES) if name[:2] != "op" and name != "pipeline"}
+    assert without == {"cluster_agglomerative", "cluster_kmeans", "build_index"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n[:2] != "op" and n != "pipeline"))
 def test_query(spark, base, name):
     result = QUERIES[name](spark, SF)
     got = table(result.columns, [tuple(r) for r in result.collect()])
