@@ -49,8 +49,10 @@ STRONG = _WORDS(
 )
 WEAK = _WORDS("header nav navigation navbar menu banner topbar toolbar search form widget masthead skip".split())
 GOOD = _WORDS("article content post entry story main text body prose".split())
+# Words that make a name tell of something elsewhere in the page, as in "has-sidebar".
+ABOUT = _WORDS("has with without no is hide show".split())
 # Weights of the classifier, in log-odds for content.
-W_START, W_OUTSIDE, W_STRONG, W_WEAK, W_HIDDEN = 0.3, -10.0, -8.0, -6.0, -12.0
+W_START, W_OUTSIDE, W_STRONG, W_WEAK, W_HIDDEN = 0.3, -14.0, -14.0, -11.0, -16.0
 W_MAIN, W_NOT_MAIN, W_GOOD = 4.0, -3.5, 1.0
 W_WORD, MOST_WORDS, W_LINKS, W_SENTENCE, W_PARAGRAPH, W_ITEM, W_RIGHTS = 0.05, 40, -5.0, 0.5, 0.7, -0.3, -4.0
 # Strength of the edges. Capacities are whole numbers, so that flows are exact.
@@ -74,12 +76,15 @@ class _Element:
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values)
             if name in ("class", "id", "role"):
-                words = {w.lower() for w in _NAME.findall(value)}
-                if words & STRONG:
-                    self.weight = min(self.weight, W_STRONG)
-                elif words & WEAK:
-                    self.weak, self.weight = not self.weight, min(self.weight, W_WEAK)
-                self.good = self.good or bool(words & GOOD)
+                for token in value.split():
+                    words = [w.lower() for w in _NAME.findall(token)]
+                    if not words or not ABOUT.isdisjoint(words):
+                        continue
+                    if words[0] in STRONG or words[-1] in STRONG:
+                        self.weight = min(self.weight, W_STRONG)
+                    elif words[0] in WEAK or words[-1] in WEAK:
+                        self.weak, self.weight = not self.weight, min(self.weight, W_WEAK)
+                    self.good = self.good or not GOOD.isdisjoint(words)
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 self.hidden = True
             elif name == "aria-hidden" and value == "true":
@@ -159,7 +164,7 @@ def blocks_of(page: str) -> list[_Block]:
                 # A wrapper named for a part of the page is more than that if the article lies inside.
                 at = here.parent
                 while at:
-                    if at.weak:
+                    if at.weak and at.weight == W_WEAK:
                         at.weight, at.weak = 0.0, False
                     at = at.parent
     flush()

@@ -303,3 +303,11 @@ def test_empty_archive(spark):
     folder = shared_folder(spark)
     warc.write_pages(spark.createDataFrame([], "key int, uri string, payload string"), folder)
     assert warc.read_pages(spark, folder).count() == 0
+
+
+def test_names_of_elements():
+    long = "A long paragraph of the text with quite a number of words in it, so that it is surely one."
+    page = f"""<body class="x"><div class="header-wrapper"><div class="content-area has-comments with-sidebar"><article class="post">
+<p>{long}</p><div class="article-share">{long} Share.</div><div class="comment-body"><p>{long} Reply.</p></div><p>End.</p>
+<div class="cookie-banner"><p>{long} Cookies.</p></div></article></div></div><div class="main-footer"><p>{long} Footer.</p></div></body>"""
+    assert boilerplate.main_text(page) == f"{long}\n\nEnd."
