@@ -236,7 +236,7 @@ def encode_texts(rows: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
         known, end = encoder(path), struct.pack("<I", end_id)
         for batch in batches:
-            payloads = [known.encode(text or "") + end for text in batch.column("text").to_pylist()]
+            payloads = [ids + end for ids in known.encode_all([text or "" for text in batch.column("text").to_pylist()])]
             yield pa.record_batch([batch.column("key"), pa.array(payloads, pa.binary())], names=["key", "payload"])
 
     return rows.select("key", "text").mapInArrow(run, "key bigint, payload binary")

@@ -11,8 +11,9 @@ import os
 import re
 
 ID_BYTES = 4
-# Pieces kept per worker; with more the cache starts anew. About 250 bytes each.
-CACHE_PIECES = 1_000_000
+# Pieces of a generation of the cache, of which a worker keeps two; a piece that is used again moves to the newer one.
+# About 250 bytes each.
+CACHE_PIECES = 400_000
 # Pieces that are encoded in one call.
 LEARN_PIECES = 1_000
 
@@ -24,6 +25,18 @@ _PIECES = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _MARKS = ".,;:!?%*&$#()[]\"-"
 
 
+# The blank in front of a token, and the end of a word, as the files write them.
+_BLANK, _WORD_END = "\u0120", "</w>"
+
+
+def _flags(ids: list[int], size: int):
+    import numpy as np
+
+    flags = np.zeros(max([size, *(i + 1 for i in ids)]), bool)
+    flags[ids] = True
+    return flags
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids; strings of special tokens count as ordinary text."""
 
@@ -32,58 +45,86 @@ class PieceEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.marked = Tokenizer.from_file(path)
-        special = [t for t in self.marked.get_added_tokens_decoder().values() if t.special]
+        self.coder = Tokenizer.from_file(path)
+        special = [t for t in self.coder.get_added_tokens_decoder().values() if t.special]
         self.mark = special[-1].content if special else None
-        self.mark_id = self.marked.token_to_id(self.mark) if special else None
+        self.mark_id = self.coder.token_to_id(self.mark) if special else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        # By id: whether the token begins a word that follows a blank, or ends a word, whichever the file marks.
+        names = self.coder.get_vocab(with_added_tokens=False)
+        self.begins = _flags([i for t, i in names.items() if t.startswith(_BLANK)], len(names))
+        self.ends = _flags([i for t, i in names.items() if t.endswith(_WORD_END)], len(names))
 
     def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; pieces that are not known yet are learnt together."""
         if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-            self.marks.clear()
+            self.older, self.cache, self.marks = self.cache, {}, {}
+        cut = [self._pieces(text) for text in texts]
+        found = [list(map(self.cache.get, pieces)) if pieces is not None else [] for pieces, _ in cut]
+        new: dict = {_restore: set(), _strip: set()}
+        gaps = []
+        for (pieces, text_of), ids in zip(cut, found):
+            gaps.append([i for i, one in enumerate(ids) if one is None] if None in ids else ())
+            if gaps[-1]:
+                new[text_of].update([pieces[i] for i in gaps[-1]])
+        for text_of, pieces in new.items():
+            if pieces:
+                self._learn(pieces, text_of)
+        for (pieces, _), ids, missing in zip(cut, found, gaps):
+            for i in missing:
+                ids[i] = self.cache[pieces[i]]
+        return [
+            b"".join(ids) if pieces is not None else self._whole([text])[0] for text, (pieces, _), ids in zip(texts, cut, found)
+        ]
+
+    def _pieces(self, text: str) -> tuple[list[str] | None, object]:
+        """The pieces of a text and how a piece becomes text again; no pieces if the text is to be encoded as a whole."""
         if _ODD.search(text):
             if _WIDE.search(text):
-                return self._whole([text])[0]
+                return None, _strip
         elif "  " not in text and ("\n" not in text or not ("\n\n" in text or "\n " in text or " \n" in text)):
-            # The same pieces, but without the blank in front; the marker keeps the first one apart.
+            # Without the blank in front; the marker keeps the first piece apart.
             pieces = text.replace("\n", " \n").split(" ")
             pieces[0] = "\0" + pieces[0]
-            return self._join(pieces, _restore)
-        return self._join([" " + p for p in _PIECES.findall(text)], _strip)
-
-    def _join(self, pieces: list[str], text_of) -> bytes:
-        found = list(map(self.cache.get, pieces))
-        if None in found:
-            self._learn({p for p, ids in zip(pieces, found) if ids is None}, text_of)
-            found = list(map(self.cache.__getitem__, pieces))
-        return b"".join(found)
+            return pieces, _restore
+        return [" " + p for p in _PIECES.findall(text)], _strip
 
     def _learn(self, pieces: set[str], text_of) -> None:
         import numpy as np
 
-        joined, alone, ended = [], [], []
+        single, joined, alone, ended = [], [], [], []
         for piece in pieces:
+            old = self.older.get(piece)
+            if old is not None:
+                self.cache[piece] = old
+                continue
             body = piece.rstrip(_MARKS)
             if body != piece and body[-1:].isalpha():
                 ended.append((piece, body))
                 if body in self.cache or body in pieces:
                     continue
+                if body in self.older:
+                    self.cache[body] = self.older[body]
+                    continue
                 piece = body
+            if piece.isalpha():
+                single.append(piece)
+                continue
             text = text_of(piece)
             (joined if self.mark and "<|" not in text and text.strip() else alone).append((piece, text))
+        for at in range(0, len(single), LEARN_PIECES):
+            part = single[at : at + LEARN_PIECES]
+            if not self._learn_words(part, text_of):
+                alone += [(piece, text_of(piece)) for piece in part]
         for at in range(0, len(joined), LEARN_PIECES):
             part = joined[at : at + LEARN_PIECES]
-            whole = self.marked.encode_batch_fast([self.mark.join(t for _, t in part)], add_special_tokens=False)[0]
-            ids = np.array(whole.ids, dtype="<u4")
-            data, low = ids.tobytes(), 0
-            ends = [*(np.flatnonzero(ids == self.mark_id) * ID_BYTES).tolist(), len(data)]
-            for (piece, _), high in zip(part, ends, strict=True):
-                self.cache[piece] = data[low:high]
-                low = high + ID_BYTES
+            ids = np.frombuffer(self._whole([self.mark.join(t for _, t in part)], ordinary=False)[0], "<u4")
+            self._keep([p for p, _ in part], ids, np.flatnonzero(ids == self.mark_id), 1)
         if alone:
             for (piece, _), ids in zip(alone, self._whole([t for _, t in alone])):
                 self.cache[piece] = ids
@@ -93,10 +134,34 @@ class PieceEncoder:
                 self.marks[marks] = self._whole([marks])[0]
             self.cache[piece] = self.cache[body] + self.marks[marks]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def _learn_words(self, words: list[str], text_of) -> bool:
+        """Learn pieces that are a blank and letters in one call, if their tokens show where each begins or ends."""
+        import numpy as np
+
+        text = "".join([" " + w for w in words])
+        if text_of(words[0]) != " " + words[0]:
+            return False
+        ids = np.frombuffer(self._whole([text])[0], "<u4")
+        for flags, shift in ((self.begins, 0), (self.ends, 1)):
+            edges = np.flatnonzero(flags[ids]) + shift
+            if len(edges) == len(words) and (edges[0] == 0 if shift == 0 else edges[-1] == len(ids)):
+                self._keep(words, ids, edges[1:] if shift == 0 else edges[:-1], 0)
+                return True
+        return False
+
+    def _keep(self, pieces: list[str], ids, cuts, gap: int) -> None:
+        """Remember the ids of each piece, cut before the places `cuts`; `gap` ids after a cut are left out."""
+        data, low = ids.tobytes(), 0
+        for piece, cut in zip(pieces, [*(cuts * ID_BYTES).tolist(), len(data)], strict=True):
+            self.cache[piece] = data[low:cut]
+            low = cut + gap * ID_BYTES
+
+    def _whole(self, texts: list[str], ordinary: bool = True) -> list[bytes]:
+        """The ids of whole texts; strings of special tokens are ordinary text, or else those tokens."""
         import numpy as np
 
-        found = self.plain.encode_batch_fast(texts, add_special_tokens=False)
+        self.coder.encode_special_tokens = ordinary
+        found = self.coder.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
 
