@@ -12,6 +12,8 @@ from spanloom.session import ship, store
 
 # Learnt models, classes and cuts depend on the whole corpus, so no SQL gives the rows of run().
 ORACLE_SQL = None
+# Pieces that a worker remembers, few because the workers of all stages share the memory of an executor.
+CACHE_PIECES = 50_000
 
 
 def _ready(spark: SparkSession) -> None:
@@ -51,7 +53,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 2048 tokens."""
     _ready(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("key"), "text")
-    return packing.pack_texts(texts, tokenizer(WORD_BPE)).withColumnRenamed("key", "doc_id")
+    return packing.pack_texts(texts, tokenizer(WORD_BPE), cache_pieces=CACHE_PIECES).withColumnRenamed("key", "doc_id")
 
 
 STAGES = [

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Ids given to rows without an id start here, so that they come after every real one.
 NO_ID = 1 << 62
 # Texts may be long, so few rows travel in one Arrow batch.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.records import encode_texts
-from spanloom.llm.tokens import ID_BYTES
+from spanloom.llm.tokens import CACHE_PIECES, ID_BYTES
 from spanloom.session import store
 
 PIECES = "key bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -142,6 +142,8 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_pieces: int =
     return ordered.mapInArrow(run, PACKED)
 
 
-def pack_texts(rows: DataFrame, path: str, capacity: Capacity = Capacity()) -> DataFrame:
+def pack_texts(
+    rows: DataFrame, path: str, capacity: Capacity = Capacity(), cache_pieces: int = CACHE_PIECES
+) -> DataFrame:
     """PACKED for rows (key, text): encode by the tokenizer file, end each text with id 0, cut and pack."""
-    return pack(cut_pieces(encode_texts(rows, path), capacity.tokens), capacity)
+    return pack(cut_pieces(encode_texts(rows, path, cache_pieces=cache_pieces), capacity.tokens), capacity)

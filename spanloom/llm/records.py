@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from spanloom.llm.common import open_fs
-from spanloom.llm.tokens import ID_BYTES, encoder
+from spanloom.llm.tokens import CACHE_PIECES, ID_BYTES, encoder
 
 FORMAT = "token_records"
 SCHEMA = "key bigint, shard int, position bigint, start bigint, payload binary"
@@ -228,13 +228,16 @@ class TokenRecords(DataSource):
         return _Writer(dict(self.options))
 
 
-def encode_texts(rows: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(key, payload) of rows (key, text): the ids of the whole text and the end id. A NULL text counts as empty."""
+def encode_texts(rows: DataFrame, path: str, end_id: int = END_ID, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+    """(key, payload) of rows (key, text): the ids of the whole text and the end id. A NULL text counts as empty.
+
+    `cache_pieces` bounds what a worker remembers, and keeps until it ends; it has no effect on the ids.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        known, end = encoder(path), struct.pack("<I", end_id)
+        known, end = encoder(path, cache_pieces), struct.pack("<I", end_id)
         for batch in batches:
             payloads = [ids + end for ids in known.encode_all([text or "" for text in batch.column("text").to_pylist()])]
             yield pa.record_batch([batch.column("key"), pa.array(payloads, pa.binary())], names=["key", "payload"])

@@ -10,7 +10,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TERMS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _POWERS: dict[str, np.ndarray] = {}
 # Bytes of text that are hashed together.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -40,7 +40,8 @@ def _flags(ids: list[int], size: int):
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids; strings of special tokens count as ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+        self.cache_pieces = cache_pieces
         # Spark runs the tasks; threads of the library would only compete with them.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -62,7 +63,7 @@ class PieceEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; pieces that are not known yet are learnt together."""
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > self.cache_pieces:
             self.older, self.cache, self.marks = self.cache, {}, {}
         cut = [self._pieces(text) for text in texts]
         found = [list(map(self.cache.get, pieces)) if pieces is not None else [] for pieces, _ in cut]
@@ -179,9 +180,9 @@ def _strip(piece: str) -> str:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
     """The encoder of a file, one per worker process."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path, cache_pieces)
     return _ENCODERS[path]

@@ -31,7 +31,7 @@ GRAM, STEMS = 5, (5, 6, 7)
 FOLDS, SEED = 5, 4
 STEPS, RATE, DECAY = 600, 0.1, 1e-5
 # Words whose features a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -134,9 +134,17 @@ def train(rows: DataFrame, labels: DataFrame) -> Scorer:
     best = counts.withColumn("z", (F.col("a") / n_plus - F.col("b") / n_mixed) / F.greatest(error, F.lit(1e-9)))
     best = best.where((F.col("a") >= LEAST_POSITIVES) & (F.col("z") >= LEAST_Z)).orderBy(F.desc("z"), "feature").limit(FEATURES)
     number = {r.feature: i for i, r in enumerate(best.select("feature").collect())}
-    taken = F.array(*[F.lit(f) for f in number]).cast("array<string>")
-    kept = sampled.select("positive", F.array_intersect("features", taken).alias("f"))
-    data = [(r.positive, [number[f] for f in r.f]) for r in kept.orderBy("positive", "f").collect()]
+
+    def numbered(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [sorted(number[f] for f in found if f in number) for found in batch.column("features").to_pylist()]
+            yield pa.record_batch([batch.column("positive"), pa.array(rows, pa.list_(pa.int32()))], names=["positive", "f"])
+
+    # Only the numbers of chosen features reach the driver, some dozens for each row of the sample.
+    kept = sampled.select("positive", "features").mapInArrow(numbered, "positive boolean, f array<int>").toArrow()
+    data = sorted(zip(kept.column("positive").to_pylist(), kept.column("f").to_pylist()))
     prior = min(max(toxic / total, 1e-3), 0.5)
     weights, bias = fit([f for _, f in data], [p for p, _ in data], len(number), prior)
     return Scorer({f: float(weights[i]) for f, i in number.items()}, bias)
