@@ -7,10 +7,11 @@ with probability 1.4e-6.
 
 Links. Documents with equal sets form a class; one representative each goes on. In each bucket all members are compared
 with the smallest, then links are followed to components. Only buckets that still hold several components are looked at
-again: a few members against a random one while much is open, then all pairs of different components, in blocks of
-bounded size. There a pair is dropped if the sets' sizes or the signatures rule out the threshold (below 140 of 250
-equal coordinates, which a pair at 0.75 has with probability below 1e-11). What is left is verified on full sets. So no
-link between components is lost, while links inside a component need not be listed.
+again, in blocks of bounded size: all pairs of members of different components, each pair in the first bucket that it
+shares. A pair is dropped unread if the sizes of the sets or the signatures rule out the threshold (below 152 of 250
+equal coordinates, which a pair at 0.75 has with probability 1e-7). The others are verified on full sets in the same
+task, the most similar first, unless links found before have joined their components; only links that join some leave
+the task. So no link between components is lost, and no pairs of a large group are ever written out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import given_id, own_id
@@ -32,11 +33,11 @@ COORDINATES = BANDS * ROWS
 UNIVERSE = 1 << 20
 SEED = 20_231
 # Jaccard threshold as a percentage, and the equal coordinates below which a pair cannot reach it.
-PERCENT, LEAST_EQUAL = 75, 140
-# Members that share one copy of the text they are compared with, and members of a block of a bucket.
-STAR_ROWS, BLOCK_ROWS = 512, 1_024
-# More open members than this are first compared with a random member of their buckets, a few times each.
-OPEN_ROWS, STAR_ROUNDS, STAR_TRIES = 20_000, 3, 4
+PERCENT, LEAST_EQUAL = 75, 152
+# Members that share one copy of the text they are compared with.
+STAR_ROWS = 512
+# Members of a block of a bucket, and bytes of their texts.
+BLOCK_ROWS, BLOCK_BYTES = 4_096, 16 << 20
 SIGNATURE = "id bigint, n bigint, class binary, bands array<bigint>, sketch binary"
 
 
@@ -118,46 +119,79 @@ def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                     heads = [*heads, one] if (a, salt) == at else [one]
                     at = (a, salt)
                     continue
-                for head in heads:
-                    both = len(np.intersect1d(head, one, assume_unique=True))
-                    if both and 100 * both >= PERCENT * (len(head) + len(one) - both):
-                        found.append((a, b))
-                        break
+                if any(reaches(head, one) for head in heads):
+                    found.append((a, b))
             columns = list(zip(*found)) if found else [(), ()]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
     return together.mapInArrow(run, "a bigint, b bigint")
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a bucket in different components whose sizes and sketches allow the threshold.
+def reaches(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets reach the threshold."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
 
-    `members` has (band, id, component, n, sketch). A bucket is cut into blocks; each pair of blocks is one small group.
+
+def block_links(members: DataFrame) -> DataFrame:
+    """Links (a, b) that join components of members of the same bucket, and with those of `members` all that there are.
+
+    `members` has (band, no, id, component, n, sketch, text), where `no` is the number of the band. A bucket is cut into
+    blocks by rows and bytes; each pair of blocks is one small group.
     """
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("_rows"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("_rows") / BLOCK_ROWS).cast("int"))
-    placed = lookup(members, sizes, "band", "_rows").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.octet_length("text")).alias("_bytes"))
+    blocks = F.greatest(F.ceil(F.col("_rows") / BLOCK_ROWS), F.ceil(F.col("_bytes") / BLOCK_BYTES)).cast("int")
+    placed = lookup(members, sizes.select("band", "_rows", blocks.alias("blocks")), "band", "_rows")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     keys = ["band", "low", "high"]
-    met = met.select(*keys, "id", "component", "block", "n", "sketch").repartition(*keys).sortWithinPartitions(*keys, "id")
+    met = met.select(*keys, "no", "id", "component", "block", "n", "sketch", "text")
+    met = met.repartition(*keys).sortWithinPartitions(*keys, "id")
 
-    def pairs(parts):
+    def links(parts):
         import pyarrow as pa
 
         rows = pa.Table.from_batches(parts)
         ids, comps, blocks, sizes = (rows.column(c).to_numpy() for c in ("id", "component", "block", "n"))
         sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        crossing = rows.column("low")[0] != rows.column("high")[0]
+        crossing, number = rows.column("low")[0] != rows.column("high")[0], rows.column("no")[0].as_py()
+        found = []
         for i in range(len(ids) - 1):
             rest = slice(i + 1, None)
             able = (comps[rest] != comps[i]) & (4 * np.minimum(sizes[rest], sizes[i]) >= 3 * np.maximum(sizes[rest], sizes[i]))
             if crossing:
                 able &= blocks[rest] != blocks[i]
             near = np.flatnonzero(able) + i + 1
-            near = near[(sketches[near] == sketches[i]).sum(axis=1) >= LEAST_EQUAL]
-            if len(near):
-                yield pa.record_batch([pa.array(np.full(len(near), ids[i])), pa.array(ids[near])], names=["a", "b"])
+            if not len(near):
+                continue
+            equal = sketches[near] == sketches[i]
+            alike = equal.sum(axis=1)
+            first = equal.reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            kept = (alike >= LEAST_EQUAL) & (first == number)
+            if kept.any():
+                found.append((np.full(int(kept.sum()), i), near[kept], alike[kept]))
+        if not found:
+            return
+        left, right, alike = (np.concatenate(c) for c in zip(*found))
+        wanted = np.unique(np.concatenate((left, right)))
+        sets = dict(zip(wanted.tolist(), shingle_sets(rows.column("text").take(pa.array(wanted)).to_pylist())))
+        top: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while top.get(c, c) != c:
+                c = top[c]
+            return c
+
+        joined = []
+        for at in np.argsort(-alike, kind="stable").tolist():
+            i, j = int(left[at]), int(right[at])
+            a, b = root(int(comps[i])), root(int(comps[j]))
+            if a != b and reaches(sets[i], sets[j]):
+                top[max(a, b)] = min(a, b)
+                joined.append((int(ids[i]), int(ids[j])))
+        if joined:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*joined)], names=["a", "b"])
 
     def run(batches):
         at, parts = None, []
@@ -170,27 +204,24 @@ def block_pairs(members: DataFrame) -> DataFrame:
                     continue
                 key = tuple(int(h[low]) for h in held)
                 if key != at and parts:
-                    yield from pairs(parts)
+                    yield from links(parts)
                     parts = []
                 at = key
                 parts.append(batch.slice(low, high - low))
         if parts:
-            yield from pairs(parts)
+            yield from links(parts)
 
-    return met.mapInArrow(run, "a bigint, b bigint").distinct()
+    return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def _still_open(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Members of buckets with several components, with a random member of the bucket and its component."""
+def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members (band, no, id) of buckets with several components, with the component of each."""
     named = members.join(labels.withColumnsRenamed({"node": "id", "component": "_c"}), "id", "left")
     named = named.withColumn("component", F.coalesce("_c", "id")).drop("_c")
-    chance = F.xxhash64("band", "id", F.lit(turn))
     found = named.groupBy("band").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("component").alias("_low"), F.max("component").alias("_high"),
-        F.max(F.struct(chance.alias("h"), "id", "component")).alias("_one"),
-    ).where(F.col("_low") != F.col("_high"))
-    found = found.select("band", "_rows", F.col("_one.id").alias("star"), F.col("_one.component").alias("star_component"))
-    return lookup(named.select("band", "id", "component"), found, "band", "_rows", hot_rows=HOT_NARROW_ROWS)
+        F.count(F.lit(1)).alias("_rows"), F.min("component").alias("_low"), F.max("component").alias("_high")
+    ).where(F.col("_low") != F.col("_high")).select("band", "_rows")
+    return lookup(named.select("band", "no", "id", "component"), found, "band", "_rows", hot_rows=HOT_NARROW_ROWS)
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
@@ -216,7 +247,7 @@ def classify(rows: DataFrame) -> DataFrame:
     copies = store(copies.where(F.col("id") != F.col("rep")).select("id", "rep"))
     reps = full.join(copies.select("id"), "id", "left_anti")
 
-    banded = reps.select("id", F.explode("bands").alias("band"))
+    banded = reps.select("id", F.posexplode("bands").alias("no", "band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("_rows"), F.min("id").alias("leader")).where(F.col("_rows") > 1)
     buckets = buckets.withColumn("size", F.col("_rows"))
     members = store(lookup(banded, buckets, "band", "_rows", hot_rows=HOT_NARROW_ROWS))
@@ -225,18 +256,10 @@ def classify(rows: DataFrame) -> DataFrame:
     links = store(verify(texts, pairs))
 
     # A bucket of two is settled; larger ones may hold links between members that are not linked to the smallest.
-    large = members.where(F.col("size") > 2).select("band", "id")
-    for turn in range(STAR_ROUNDS + 1):
-        labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        still = store(_still_open(large, labels, turn))
-        if turn == STAR_ROUNDS or still.count() <= OPEN_ROWS:
-            break
-        tries = still.where(F.col("component") != F.col("star_component")).select(F.col("star").alias("a"), F.col("id").alias("b"))
-        by_chance = Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(turn)))
-        tries = tries.distinct().withColumn("_n", F.row_number().over(by_chance)).where(F.col("_n") <= STAR_TRIES).drop("_n")
-        links = store(links.unionByName(verify(texts, tries)))
-    sketched = still.select("band", "id", "component").join(reps.select("id", "n", "sketch"), "id")
-    links = links.unionByName(verify(texts, store(block_pairs(sketched))))
+    large = members.where(F.col("size") > 2).select("band", "no", "id")
+    labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    still = _still_open(large, labels).join(reps.select("id", "n", "sketch"), "id").join(texts, "id")
+    links = store(links.unionByName(block_links(still)))
 
     edges = links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
