@@ -27,7 +27,7 @@ from pyspark.sql.datasource import (
 )
 
 from spanloom.llm.common import given_id, open_fs, own_id
-from spanloom.session import store
+from spanloom.session import broadcast_if_small, store
 from spanloom.skew import HOT_NARROW_ROWS, lookup
 
 FORMAT = "warc"
@@ -320,7 +320,8 @@ def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, compression
         own_id(F.col("key"), F.col("uri"), F.col("payload")).alias("key"), "uri",
         F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"),
     )
-    found = revisits(rows, least_bytes)
+    # Where revisits are few, the pages need no shuffle to learn of them.
+    found = broadcast_if_small(store(revisits(rows, least_bytes)))
     marked = rows.withColumn("digest", F.sha1("payload")).join(found, ["key", "digest"], "left")
     marked = marked.select("key", "uri", "payload", "original")
     marked.write.format(FORMAT).option("compression", compression).mode("append").save(folder)
