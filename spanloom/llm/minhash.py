@@ -136,8 +136,9 @@ def reaches(a: np.ndarray, b: np.ndarray) -> bool:
 def block_links(members: DataFrame) -> DataFrame:
     """Links (a, b) that join components of members of the same bucket, and with those of `members` all that there are.
 
-    `members` has (band, no, id, component, n, sketch, text), where `no` is the number of the band. A bucket is cut into
-    blocks by rows and bytes; each pair of blocks is one small group.
+    `members` has (band, no, id, component, n, bands, sketch, text), where `no` is the number of the band. A bucket is cut
+    into blocks by rows and bytes; each pair of blocks is one small group. The first bucket that a pair shares is told by
+    the keys of the buckets, as sketches may agree in a band whose coordinates differ.
     """
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.octet_length("text")).alias("_bytes"))
     blocks = F.greatest(F.ceil(F.col("_rows") / BLOCK_ROWS), F.ceil(F.col("_bytes") / BLOCK_BYTES)).cast("int")
@@ -146,7 +147,7 @@ def block_links(members: DataFrame) -> DataFrame:
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     keys = ["band", "low", "high"]
-    met = met.select(*keys, "no", "id", "component", "block", "n", "sketch", "text")
+    met = met.select(*keys, "no", "id", "component", "block", "n", "bands", "sketch", "text")
     met = met.repartition(*keys).sortWithinPartitions(*keys, "id")
 
     def links(parts):
@@ -155,6 +156,7 @@ def block_links(members: DataFrame) -> DataFrame:
         rows = pa.Table.from_batches(parts)
         ids, comps, blocks, sizes = (rows.column(c).to_numpy() for c in ("id", "component", "block", "n"))
         sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        buckets = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
         crossing, number = rows.column("low")[0] != rows.column("high")[0], rows.column("no")[0].as_py()
         found = []
         for i in range(len(ids) - 1):
@@ -165,9 +167,8 @@ def block_links(members: DataFrame) -> DataFrame:
             near = np.flatnonzero(able) + i + 1
             if not len(near):
                 continue
-            equal = sketches[near] == sketches[i]
-            alike = equal.sum(axis=1)
-            first = equal.reshape(len(near), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            alike = (sketches[near] == sketches[i]).sum(axis=1)
+            first = (buckets[near] == buckets[i]).argmax(axis=1)
             kept = (alike >= LEAST_EQUAL) & (first == number)
             if kept.any():
                 found.append((np.full(int(kept.sum()), i), near[kept], alike[kept]))
@@ -258,7 +259,7 @@ def classify(rows: DataFrame) -> DataFrame:
     # A bucket of two is settled; larger ones may hold links between members that are not linked to the smallest.
     large = members.where(F.col("size") > 2).select("band", "no", "id")
     labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    still = _still_open(large, labels).join(reps.select("id", "n", "sketch"), "id").join(texts, "id")
+    still = _still_open(large, labels).join(reps.select("id", "n", "bands", "sketch"), "id").join(texts, "id")
     links = store(links.unionByName(block_links(still)))
 
     edges = links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))

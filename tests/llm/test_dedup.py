@@ -85,6 +85,24 @@ def test_links_between_members_of_a_chain(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in classes(rows).items()} and len(set(got.values())) == 1
 
 
+def test_links_of_pairs_whose_sketches_agree_by_chance(spark):
+    """The first band that is equal in the sketches of such a pair differs in full, so they share no bucket there."""
+    rng, rows, key = random.Random(5), [], 0
+    while len(rows) < 6:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        texts = [" ".join(base), " ".join([*base[:135], *(f"v{rng.randrange(10**6)}" for _ in range(15))])]
+        a, b = (minhash.signature(s) for s in shingles.shingle_sets(texts))
+        bands = (minhash.band_keys(a) == minhash.band_keys(b)).argmax()
+        sketches = (a % 256 == b % 256).reshape(minhash.BANDS, minhash.ROWS).all(axis=1).argmax()
+        if sketches < bands:
+            rows += [(key, texts[0]), (key + 1, texts[1])]
+            key += 2
+    frame = spark.createDataFrame(rows, "id bigint, text string")
+    members = minhash.signatures(frame).selectExpr("*", "posexplode(bands) AS (no, band)", "id AS component")
+    got = minhash.block_links(members.join(frame, "id")).collect()
+    assert sorted((r.a, r.b) for r in got) == [(i, i + 1) for i in range(0, key, 2)]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"v{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, "  "), (4, "a b"), (5, "A  b"), (None, "a b"), (6, long), (7, long + " x"), (None, "q r s"), (8, "é"), (8, "é")]
