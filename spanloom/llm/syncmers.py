@@ -2,10 +2,11 @@
 
 A k-mer of code points is an anchor if the smallest of its inner s-mers is the first or the last of them. That depends
 on the k-mer alone, so equal passages have equal anchors wherever they stand. A fingerprint is the sequence of anchors of
-the whole text: 24 bits of the hash of each k-mer and the gap to the anchor before (255 for more), four bytes per anchor
-in base64. Texts of less than 512 code points also have the anchors of a finer scale, as few of the other would survive
-an edit there. A text that has no anchor has one, itself. Two fingerprints are matched by position: the n-th occurrence of a
-hash meets the n-th in the other, and the longest sequence of matches in the order of both counts.
+the whole text: 24 bits of the hash of each k-mer, a bit that marks its scale, and the gap to the anchor before in seven
+(anchors are at most k - s apart), four bytes per anchor in base64. Texts of less than 512 code points also have the
+anchors of a finer scale, as few of the other would survive an edit there; a text that has no anchor has one of that scale,
+itself. Two fingerprints are matched by position: the n-th occurrence of a hash meets the n-th in the other, and the longest
+sequence of matches in the order of both counts. If only one of them has the finer scale, the anchors of the other count.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from spanloom.llm.common import given_id, own_id
 
 # (k, s) of all texts, and the finer pair of texts shorter than SHORT.
 SCALES, SHORT = ((32, 10), (12, 4)), 512
+# The bit of an anchor that marks the finer scale, and the largest gap beside it.
+FINE, MOST_GAP = 0x80, 0x7F
 # Rows of a part of the key range, and the most parts, whose bounds and first keys are known to the driver.
 PART_ROWS, MOST_PARTS = 2_048, 8_192
 RESULT = (
@@ -37,8 +40,8 @@ def fingerprint(text: str) -> bytes:
     if not n:
         return b""
     points = code_points(text)
-    places, hashes = [], []
-    for k, s in SCALES[: 1 + (n < SHORT)]:
+    places, hashes, marks = [], [], []
+    for mark, (k, s) in zip((0, FINE), SCALES[: 1 + (n < SHORT)]):
         if n < k:
             continue
         heads = np.arange(n - s + 1)
@@ -47,19 +50,21 @@ def fingerprint(text: str) -> bytes:
         at = np.flatnonzero((inner[: n - k + 1] == least) | (inner[k - s :] == least))
         places.append(at)
         hashes.append(span_hashes(points, at, at + k))
+        marks.append(np.full(len(at), mark, np.uint32))
     if not sum(map(len, places)):
         places, hashes = [np.zeros(1, np.int64)], [span_hashes(points, np.zeros(1, np.int64), np.array([n]))]
-    at, hashes = np.concatenate(places), np.concatenate(hashes)
+        marks = [np.full(1, FINE, np.uint32)]
+    at, hashes, marked = np.concatenate(places), np.concatenate(hashes), np.concatenate(marks)
     if len(places) > 1:
         order = np.argsort(at, kind="stable")
-        at, hashes = at[order], hashes[order]
+        at, hashes, marked = at[order], hashes[order], marked[order]
     packed = (hashes >> np.uint64(40)).astype("<u4") << np.uint32(8)
-    return (packed | np.minimum(np.diff(at, prepend=0), 255).astype("<u4")).astype("<u4").tobytes()
+    return (packed | marked | np.minimum(np.diff(at, prepend=0), MOST_GAP).astype("<u4")).astype("<u4").tobytes()
 
 
-def _numbered(anchors: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place) of the anchors by ascending key: the hash of an anchor and how often it came before."""
-    hashes = (np.frombuffer(anchors, "<u4") >> np.uint32(8)).astype(np.int64)
+def _numbered(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of the anchors by ascending key: hash and scale of an anchor and how often they came before."""
+    hashes = (anchors >> np.uint32(7)).astype(np.int64)  # the hash and the mark, without the gap
     order = np.argsort(hashes, kind="stable")
     ranked = hashes[order]
     starts = np.flatnonzero(np.diff(ranked, prepend=-1))
@@ -68,12 +73,19 @@ def _numbered(anchors: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """Twice the matched anchors over all anchors of both: 1 for equal fingerprints, 0 without a match."""
+    """Twice the matched anchors over all anchors of both, of the scales that both have.
+
+    1 for equal fingerprints, 0 without a match.
+    """
     if a == b:
         return 1.0
-    if not a or not b:
+    one, two = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    fine_one, fine_two = (one & FINE) > 0, (two & FINE) > 0
+    if fine_one.any() != fine_two.any():
+        one, two = one[~fine_one], two[~fine_two]
+    if not len(one) or not len(two):
         return 0.0
-    (ka, pa), (kb, pb) = _numbered(a), _numbered(b)
+    (ka, pa), (kb, pb) = _numbered(one), _numbered(two)
     _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
     if not len(ia):
         return 0.0

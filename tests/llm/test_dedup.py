@@ -184,6 +184,24 @@ def test_anchors_are_closed_syncmers():
     assert len(syncmers.fingerprint(text)) == 4 * total
 
 
+def test_likeness_across_the_border_of_scales():
+    rng = random.Random(12)
+    for n in (512, 550, 600, 680):
+        text = prose(rng, 200)[:n]
+        new = syncmers.edited(text, "")
+        assert len(new) < syncmers.SHORT
+        assert 0.75 < syncmers.likeness(syncmers.fingerprint(text), syncmers.fingerprint(new)) < 0.95
+        short, long = text[:505], text[:505] + prose(rng, 5)[:15]
+        assert syncmers.likeness(syncmers.fingerprint(long), syncmers.fingerprint(short)) > 0.85
+        other = syncmers.fingerprint(prose(rng, 200))
+        assert syncmers.likeness(syncmers.fingerprint(short), other) < 0.1
+    assert syncmers.likeness(syncmers.fingerprint("a b"), syncmers.fingerprint(text)) == 0.0
+    for n in (100, 400, 600):
+        anchors = syncmers.np.frombuffer(syncmers.fingerprint(prose(rng, 200)[:n]), "<u4")
+        assert ((anchors & syncmers.FINE) > 0).any() == (n < syncmers.SHORT) and ((anchors & syncmers.FINE) == 0).any()
+        assert (anchors & syncmers.MOST_GAP).max() <= 22
+
+
 def test_fingerprints(spark):
     rng = random.Random(9)
     rows = [(3 * i, prose(rng, rng.choice([1, 3, 20, 200]))) for i in range(40)]
