@@ -165,6 +165,29 @@ def test_odd_rows_of_chunks(spark):
     assert chunks.deduplicate(frame.limit(0)).count() == 0
 
 
+def test_short_words_and_texts_without_blanks(spark):
+    """A shared passage goes as a whole, however short its words are, and also where no blanks are."""
+    rng = random.Random(10)
+    short = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=3)) for _ in range(n))
+    chinese = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    rows, passages = [], []
+    for i in range(60):
+        make, size = (short, 51) if i < 40 else (chinese, 250)
+        passage = make(size)
+        gap = " " if i < 40 else ""
+        passages.append(passage)
+        rows += [(2 * i + half, make(150) + gap + passage + gap + make(150)) for half in range(2)]
+    rows += [(200, whole := chinese(3_000)), (201, whole), (202, chinese(200) + "\u3002" + whole[:60] + chinese(200))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got, texts = {r.doc_id: r for r in chunks.deduplicate(frame).collect()}, dict(rows)
+    for i, passage in enumerate(passages):
+        assert got[2 * i].text == texts[2 * i]
+        r = got[2 * i + 1]
+        assert len(r.spans) == 1 and len(passage) - 2 <= r.removed_chars <= len(passage) + 2
+        assert r.text == texts[2 * i + 1][: r.spans[0].start] + texts[2 * i + 1][r.spans[0].end :]
+    assert got[200].text == whole and got[201].text == "" and got[202].removed_chars == 0
+
+
 def plain_syncmers(text, k, s):
     found = []
     for i in range(len(text) - k + 1):
