@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import boilerplate, chunks, hamming, minhash, mixing, packing, records, syncmers, toxicity, warc
+from spanloom.llm import (
+    boilerplate, chunks, decontaminate, hamming, importance, infilling, minhash, mixing, packing, records, syncmers, toxicity,
+    warc,
+)
 from spanloom.llm.common import table
 from spanloom.session import shared_folder
 
@@ -96,5 +99,33 @@ def op10_warc_source(spark, sf):
     )
 
 
+def op11_importance_resampling(spark, sf):
+    """The quarter of the documents that is drawn towards the benchmark texts."""
+    drawn = importance.resample(_texts(spark, sf), table(spark, sf, "benchmark"))
+    return drawn.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_fill_in_middle(spark, sf):
+    """Each document cut at lines and reordered for infilling, and put together again."""
+    made = infilling.transform(_texts(spark, sf))
+    return made.select(
+        F.col("row.key").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infilling.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_benchmark_decontamination(spark, sf):
+    """The words of each document that lie in ten words of a benchmark text."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), "text")
+    found = decontaminate.report(table(spark, sf, "documents"), items)
+    return found.select(
+        F.col("key").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES = {name: make for name, make in globals().items() if name.startswith("op")}
-ORACLES = {"op6_water_filling": mixing.ORACLE}
+ORACLES = {
+    "op6_water_filling": mixing.ORACLE, "op11_importance_resampling": importance.oracle(), "op12_fill_in_middle": infilling.oracle(),
+    "op13_benchmark_decontamination": decontaminate.oracle(),
+}
