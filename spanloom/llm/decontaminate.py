@@ -98,15 +98,15 @@ def scan(
     placed = placed.withColumn("key", key)
     met = []
     for number, part in enumerate(parts):
-        known = F.broadcast(part.select("key", F.col("length").alias("_n"), F.col("words").alias("_words"), F.col("items").alias("_items")))
-        same = (placed["key"] == known["key"]) & (F.col("length") == F.col("_n")) & (F.slice("w", at + 1, F.col("length")) == F.col("_words"))
-        hit = F.col("_n").isNotNull()
+        known = part.select(F.col("key").alias("_key"), F.col("length").alias("_n"), F.col("words").alias("_words"), F.col("items").alias("_items"))
+        # Verified behind the join, so that it looks up single numbers.
+        hit = F.coalesce((F.col("length") == F.col("_n")) & (F.slice("w", at + 1, F.col("length")) == F.col("_words")), F.lit(False))
         # The first position of a text stands for the text.
         first = (F.coalesce(at, F.lit(0)) == 0) & (F.col("length") == (lengths[0] if lengths else size)) & F.lit(number == 0)
-        joined = placed.join(known, same, "left").where(hit | first)
+        joined = placed.join(F.broadcast(known), F.col("key") == F.col("_key"), "left").where(hit | first)
         met.append(joined.select(
             "id", F.when(first, F.col("row")).alias("row"), F.when(first, F.size("w")).alias("n_words"),
-            F.when(hit, F.struct(at.alias("at"), F.col("length").alias("length"))).alias("hit"), "_items",
+            F.when(hit, F.struct(at.alias("at"), F.col("length").alias("length"))).alias("hit"), F.when(hit, F.col("_items")).alias("_items"),
         ))
     together = reduce(DataFrame.unionByName, met)
     return together.groupBy("id").agg(
