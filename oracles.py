@@ -141,6 +141,14 @@ best AS (
 KNN = EMBEDDINGS + f""",
 sims AS (SELECT a.row_id AS src, b.row_id AS dst, {dot('a.vec', 'b.vec')} AS sim FROM vecs a JOIN vecs b ON a.row_id <> b.row_id),
 knn AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM sims QUALIFY rank <= 29)"""
+# Each pair of `scored`(low, high, sim) is scored once; one that both ends list appears twice among the listed.
+LISTED_TWICE = """,
+sides AS (SELECT low AS src, high AS dst, sim FROM scored UNION ALL SELECT high, low, sim FROM scored),
+listed AS MATERIALIZED (
+  SELECT src, dst, sim FROM sides QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 29),
+mutual AS (
+  SELECT low AS src, high AS dst, max(sim) AS sim
+  FROM (SELECT least(src, dst) AS low, greatest(src, dst) AS high, sim FROM listed) GROUP BY low, high HAVING count(*) = 2)"""
 MUTUAL = KNN + """,
 mutual AS (
   SELECT a.src, a.dst, a.sim FROM knn a JOIN knn b ON a.src = b.dst AND a.dst = b.src
@@ -380,17 +388,28 @@ near AS (SELECT a.item AS a, b.item AS b, {dot('a.vec', 'b.vec')} AS sim FROM m
 FROM rows x JOIN near ON near.a = x.mention JOIN rows y ON y.mention = near.b AND y.row_id <> x.row_id
 QUALIFY rank <= 29""",
     ),
-    "mutual_knn_edges": _rows(MUTUAL.replace("{floor}", "0.35"), "SELECT src, dst, sim FROM mutual"),
+    "mutual_knn_edges": _rows(
+        EMBEDDINGS
+        + f""",
+scored AS MATERIALIZED (
+  SELECT a.row_id AS low, b.row_id AS high, {dot('a.vec', 'b.vec')} AS sim FROM vecs a JOIN vecs b ON a.row_id < b.row_id)"""
+        + LISTED_TWICE,
+        "SELECT src, dst, sim FROM mutual WHERE sim >= 0.35",
+    ),
     "mutual_knn_edges_mentions": _rows(
+        # Single precision sorts out nearly all pairs before the exact score.
         BLENDS
         + f""",
-sims AS (
-  SELECT a.row_id AS src, b.row_id AS dst, {dot('a.vec', 'b.vec')} AS sim
-  FROM blends a JOIN blends b ON a.row_id <> b.row_id),
-knn AS (
-  SELECT *, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM sims WHERE sim >= 0.7
-  QUALIFY rank <= 29)""",
-        """SELECT a.src, a.dst, a.sim FROM knn a JOIN knn b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst""",
+held AS MATERIALIZED (SELECT row_id, vec, CAST(vec AS FLOAT[{_DIM}]) AS quick FROM blends),
+near AS MATERIALIZED (
+  SELECT a.row_id AS low, b.row_id AS high FROM held a JOIN held b ON a.row_id < b.row_id
+  WHERE array_inner_product(a.quick, b.quick) >= 0.699),
+scored AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT low, high, {dot('a.vec', 'b.vec')} AS sim FROM near JOIN held a ON a.row_id = low JOIN held b ON b.row_id = high)
+  WHERE sim >= 0.7)"""
+        + LISTED_TWICE,
+        "SELECT src, dst, sim FROM mutual",
     ),
     "connected_components": _rows(
         MENTIONS

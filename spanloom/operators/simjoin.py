@@ -26,8 +26,8 @@ SLAB_CELLS = 4 << 20
 # Bytes of a side that is sent to all executors, and entries that a task keeps for such a side.
 SIDE_BYTES = 64 << 20
 SIDE_ENTRIES = 8 << 20
-# Rows from which on cells of near vectors are worth their two extra passes.
-CELL_ROWS = 200_000
+# Rows from which on bounds are worth their extra pass.
+BOUNDED_ROWS = 65_536
 # Buckets that share the work of ranking the rows of one query.
 RANK_BUCKETS = 32
 
@@ -61,14 +61,15 @@ def _best(src: np.ndarray, dst: np.ndarray, sim: np.ndarray, k: int):
     return src[keep], dst[keep], sim[keep]
 
 
-def _candidates(scores, src_ids, dst_ids, k, floor, earlier, others):
+def _candidates(scores, src_ids, dst_ids, k, floor, earlier, others, margin=MARGIN):
     """Cells (row, column) of a matrix of scores that include the best `k` of each row.
 
-    Few cells at the floor are taken as they are; many are thinned out by the k-th best score of their row.
+    Few cells at the floor are taken as they are; many are thinned out by the k-th best score of their row. Scores may be
+    off by `margin`.
     """
     height, width = scores.shape
     if floor is not None:
-        passed = scores >= floor - MARGIN
+        passed = scores >= floor - margin
         if np.count_nonzero(passed) <= 4 * k * height:
             return np.nonzero(passed)
     if earlier:
@@ -76,7 +77,9 @@ def _candidates(scores, src_ids, dst_ids, k, floor, earlier, others):
     wanted = k + 1 if others else k
     if wanted >= width:
         return np.nonzero(scores > -np.inf)
-    cutoff = np.partition(scores, width - wanted, axis=1)[:, width - wanted, None] - 2 * MARGIN
+    cutoff = np.partition(scores, width - wanted, axis=1)[:, width - wanted, None] - 2 * margin
+    if floor is not None:
+        cutoff = np.maximum(cutoff, floor - margin)
     return np.nonzero((scores >= cutoff) & (scores > -np.inf))
 
 
@@ -270,25 +273,21 @@ def nearest_others(
     earlier: bool = False,
     any_one: bool = False,
     block_rows: int | None = None,
-    cell_rows: int = CELL_ROWS,
-    worth: float = 0.5,
+    bounded_rows: int | None = None,
 ) -> DataFrame:
     """For each row of `df` (id, vector) the best `k` other rows, as edges (src, dst, sim, rank).
 
-    With `any_one` (and k = 1) any allowed row will do in place of the best. Tables below `cell_rows` rows are
-    dealt into blocks by a hash and all pairs of blocks are multiplied. Larger ones are dealt into cells of
-    near vectors, and a row visits only the cells that can hold something for it (`spanloom.operators.cells`),
-    unless that would be more than the share `worth` of the table.
+    With `any_one` (and k = 1) any allowed row will do in place of the best. Tables below `bounded_rows` rows are dealt
+    into blocks by a hash and all pairs of blocks are multiplied. Larger ones are dealt into blocks of near vectors, and
+    bounds leave out what cannot reach the neighbours that a row already has (`spanloom.operators.bounded`).
     """
     df = df.where(F.col(df.columns[1]).isNotNull())
     size = df.count()
     rows = block_rows or _block_rows(df)
-    if size >= cell_rows:
-        from spanloom.operators.cells import nearest_by_cells
+    if size >= (BOUNDED_ROWS if bounded_rows is None else bounded_rows):
+        from spanloom.operators.bounded import nearest_bounded
 
-        found = nearest_by_cells(df, size, k, floor, above, earlier, any_one, rows, worth)
-        if found is not None:
-            return found
+        return nearest_bounded(df, size, k, floor, above, earlier, any_one, rows)
     # At least a block per two slots as soon as the table is worth it, so that all slots get a pair.
     blocks = max(ceil(size / rows), min(ceil(size / 512), ceil(_slots(df) ** 0.5)), 1)
     block = F.pmod(F.xxhash64(F.col(df.columns[0])), F.lit(blocks)).cast("int")

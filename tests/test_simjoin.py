@@ -89,26 +89,26 @@ def test_lists_with_copies(spark, copies, neighbours):
     "k, how",
     [(5, {}), (5, {"floor": 0.8}), (1, {"floor": 0.8, "above": True}), (1, {"floor": 0.7, "earlier": True}), (1, {"floor": 0.0})],
 )
-def test_cells(spark, k, how):
+def test_bounds(spark, k, how):
     matrix = cloud(12, 150, copies=20)
     df = frame(spark, matrix).repartition(3)
-    got = simjoin.nearest_others(df, k, block_rows=20, cell_rows=1, worth=1.0, **how)
+    got = simjoin.nearest_others(df, k, block_rows=20, bounded_rows=1, **how)
     wanted = simjoin.nearest_others(df, k, block_rows=50, **how)
     assert edges(got) == edges(wanted)
 
 
-def test_cells_of_vectors_of_any_length(spark):
+def test_bounds_of_vectors_of_any_length(spark):
     rng = np.random.default_rng(13)
     matrix = rng.normal(size=(90, 4)).astype(np.float32) * rng.choice([0.0, 0.3, 1.0, 2.0], size=(90, 1))
     df = frame(spark, matrix)
     for how in ({}, {"floor": 0.5}):
-        got = simjoin.nearest_others(df, 3, block_rows=16, cell_rows=1, worth=1.0, **how)
+        got = simjoin.nearest_others(df, 3, block_rows=16, bounded_rows=1, **how)
         assert edges(got) == edges(simjoin.nearest_others(df, 3, **how))
 
 
-def test_cells_any_one(spark):
+def test_bounds_any_one(spark):
     matrix = cloud(14, 120)
     df = frame(spark, matrix)
-    some = simjoin.nearest_others(df, 1, floor=0.8, earlier=True, any_one=True, block_rows=20, cell_rows=1, worth=1.0)
+    some = simjoin.nearest_others(df, 1, floor=0.8, earlier=True, any_one=True, block_rows=20, bounded_rows=1)
     best = simjoin.nearest_others(df, 1, floor=0.8, earlier=True)
     assert sorted(r.src for r in some.collect()) == sorted(r.src for r in best.collect())
