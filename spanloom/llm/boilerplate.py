@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Quotes count after an equals sign only, and a tag holds no `<` outside them; repeats give nothing back, so that reading
+# takes time in proportion to the page.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?](?:[^>]*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?](?:[^>]*+>|.*+\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)"
+    r"((?:[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>|[^<]++|<", re.S
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -64,11 +67,12 @@ TEASER = 0.3
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "weight", "weak", "good", "hidden", "size")
+    __slots__ = ("tag", "parent", "depth", "weight", "weak", "good", "hidden", "size", "low", "inside", "holds")
 
     def __init__(self, tag, attributes, parent):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
         self.weight, self.weak, self.good, self.hidden, self.size = 0.0, False, False, False, 0
+        self.low, self.inside, self.holds = 0.0, False, False
         if tag in OUTSIDE:
             self.weight = W_OUTSIDE
         if not attributes or tag in ("html", "body"):
@@ -105,7 +109,8 @@ def blocks_of(page: str) -> list[_Block]:
     blocks: list[_Block] = []
     parts: list[str] = []
     linked = links = 0
-    skipping = None
+    # How many elements of a tag are open, so that an end tag without a beginning costs nothing.
+    opened: Counter[str] = Counter()
 
     def flush():
         nonlocal linked
@@ -116,11 +121,22 @@ def blocks_of(page: str) -> list[_Block]:
             parts.clear()
         linked = 0
 
-    for match in _TOKEN.finditer(page):
+    def leave(at):
+        """Close the elements from the innermost up to `at`."""
+        nonlocal here
+        while True:
+            opened[here.tag] -= 1
+            left, here = here, here.parent
+            if left is at:
+                return
+
+    place = 0
+    while match := _TOKEN.match(page, place):
+        place = match.end()
         end, tag, attributes = match.groups()
         if tag is None:
             token = match.group()
-            if skipping or token[:2] in ("<!", "<?"):
+            if token[:2] in ("<!", "<?"):
                 continue
             text = html.unescape(token) if "&" in token else token
             parts.append(text)
@@ -128,13 +144,11 @@ def blocks_of(page: str) -> list[_Block]:
                 linked += len(text.strip())
             continue
         tag = tag.lower()
-        if skipping:
-            if end and tag == skipping:
-                skipping = None
-            continue
         if tag in SKIPPED:
             if not end and not attributes.endswith("/"):
-                skipping = tag
+                # What is inside is no markup.
+                close = re.compile(f"</{tag}(?=[\\s/>])[^>]*+(?:>|\\Z)", re.I).search(page, place)
+                place = close.end() if close else len(page)
             continue
         if tag == "br":
             parts.append(" ")
@@ -144,28 +158,34 @@ def blocks_of(page: str) -> list[_Block]:
             continue
         elif end:
             at = here
-            while at.parent and at.tag != tag and not (tag in ("p", "li", "td", "th", "tr") and at.tag in CONTAINERS):
+            while opened[tag] and at.parent and at.tag != tag and not (tag in ("p", "li", "td", "th", "tr") and at.tag in CONTAINERS):
                 at = at.parent
             flush()
             if at.parent and at.tag == tag:
-                here = at.parent
+                leave(at)
         else:
             flush()
             links = 0
             at, closed = here, CLOSED_BY.get(tag, frozenset())
-            while at.parent and (at.tag == "p" or at.tag not in CONTAINERS or at.tag in closed):
+            while (
+                (opened["p"] > 0 or any(opened[c] > 0 for c in closed))
+                and at.parent and (at.tag == "p" or at.tag not in CONTAINERS or at.tag in closed)
+            ):
+                above = at.parent
                 if at.tag == "p" or at.tag in closed:
-                    here = at.parent
-                at = at.parent
+                    leave(at)
+                at = above
             if tag in VOID:
                 continue
             here = _Element(tag, attributes, here)
+            opened[tag] += 1
             if tag in MAIN:
                 # A wrapper named for a part of the page is more than that if the article lies inside.
                 at = here.parent
-                while at:
+                while at and not at.holds:
                     if at.weak and at.weight == W_WEAK:
                         at.weight, at.weak = 0.0, False
+                    at.holds = True
                     at = at.parent
     flush()
     return blocks
@@ -173,23 +193,28 @@ def blocks_of(page: str) -> list[_Block]:
 
 def content_odds(blocks: list[_Block]) -> list[float]:
     """The log-odds of each block for being content."""
-    largest = 0
+    # Every element with text below it once: sizes go up from the deepest, what holds for all inside goes down.
+    elements: set[_Element] = set()
     for block in blocks:
+        block.parent.size += len(block.text)
         at = block.parent
-        while at:
-            if at.tag in MAIN and not at.weight:
-                at.size += len(block.text)
-                largest = max(largest, at.size)
+        while at and at not in elements:
+            elements.add(at)
             at = at.parent
+    order = sorted(elements, key=lambda e: -e.depth)
+    for element in order:
+        if element.parent:
+            element.parent.size += element.size
+    largest = max((e.size for e in order if e.tag in MAIN and not e.weight), default=0)
+    for element in reversed(order):
+        above = element.parent
+        element.low = min(above.low if above else 0.0, W_HIDDEN if element.hidden else element.weight)
+        main = element.tag in MAIN and (0 if element.weight else element.size) >= TEASER * largest
+        element.inside = main or (above.inside if above else False)
+        element.good = element.good or (above.good if above else False)
     odds = []
     for block in blocks:
-        low, inside, good = 0.0, False, False
-        at = block.parent
-        while at:
-            low = min(low, W_HIDDEN if at.hidden else at.weight)
-            inside = inside or (at.tag in MAIN and at.size >= TEASER * largest)
-            good = good or at.good
-            at = at.parent
+        low, inside, good = block.parent.low, block.parent.inside, block.parent.good
         text, tag = block.text, block.parent.tag
         total = W_START + low + W_WORD * min(MOST_WORDS, text.count(" ") + 1) + W_LINKS * block.linked / len(text)
         total += (W_MAIN if inside else W_NOT_MAIN) if largest else 0.0

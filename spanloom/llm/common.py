@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +26,42 @@ def own_id(key: Column, *content: Column) -> Column:
     return F.coalesce(key.cast("bigint"), made)
 
 
-def given_id(key: Column) -> Column:
-    """The id as it was given: NULL for those that `own_id` made."""
-    return F.when(key < NO_ID, key)
+@dataclass(frozen=True)
+class Ids:
+    """Ids of rows of which some have none; the made ones come from the content and after all given ones.
+
+    `first` is the smallest id that can be a made one, NULL if no row lacks an id. Given ids from NO_ID upward leave no
+    room above, so they are moved to the negative numbers, which then must be free.
+    """
+
+    first: int | None
+
+    def own(self, key: Column, *content: Column) -> Column:
+        key = key.cast("bigint")
+        if self.first is None:
+            return key
+        if self.first:
+            return own_id(key, *content)
+        return F.coalesce(key.bitwiseOR(F.lit(-(1 << 63))), F.xxhash64(*content).bitwiseAND(F.lit((1 << 63) - 1)))
+
+    def given(self, own: Column) -> Column:
+        """The id as it was given, NULL for a made one."""
+        if self.first is None:
+            return own
+        return F.when(own < self.first, own if self.first else own.bitwiseAND(F.lit((1 << 63) - 1)))
+
+
+def ids_of(rows: DataFrame, key: str) -> Ids:
+    """How the rows of a table get ids, by the least and the greatest of those that are given."""
+    column = F.col(key).cast("bigint")
+    low, high, lacking = rows.agg(F.min(column), F.max(column), F.count_if(column.isNull())).first()
+    if not lacking:
+        return Ids(None)
+    if high is None or high < NO_ID:
+        return Ids(NO_ID)
+    if low < 0:
+        raise ValueError(f"rows without {key} need room above or below the given ones, which go from {low} to {high}")
+    return Ids(0)
 
 
 def words_of(text: Column) -> Column:

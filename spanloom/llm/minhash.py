@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import given_id, own_id
+from spanloom.llm.common import ids_of
 from spanloom.llm.shingles import mix64, shingle_sets
 from spanloom.operators.components import connected_components
 from spanloom.session import store
@@ -99,8 +99,8 @@ def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     Each text of `a` comes before the texts that it is compared with; many of them are split into several groups.
     """
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_rows"))
-    counts = counts.withColumn("salts", F.ceil(F.col("_rows") / STAR_ROWS).cast("int"))
-    dealt = lookup(pairs, counts, "a", "_rows", hot_rows=HOT_NARROW_ROWS)
+    counts = store(counts.withColumn("salts", F.ceil(F.col("_rows") / STAR_ROWS).cast("int")))
+    dealt = _join(pairs, counts, "a")
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "text")
     heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -133,21 +133,28 @@ def reaches(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def block_links(members: DataFrame) -> DataFrame:
+def _join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join of `left` with the stored table `right`, whose `_rows` counts the left rows of each key."""
+    most = right.agg(F.max("_rows")).first()[0] or 0
+    return lookup(left, right, key, "_rows", most, HOT_NARROW_ROWS)
+
+
+def block_links(members: DataFrame, details: DataFrame) -> DataFrame:
     """Links (a, b) that join components of members of the same bucket, and with those of `members` all that there are.
 
-    `members` has (band, no, id, component, n, bands, sketch, text), where `no` is the number of the band. A bucket is cut
+    `members` has (band, no, id, component, size), where `no` is the number of the band and `size` the bytes of the text;
+    `details` has (id, n, bands, sketch, text) and is brought to them last. A bucket is cut
     into blocks by rows and bytes; each pair of blocks is one small group. The first bucket that a pair shares is told by
     the keys of the buckets, as sketches may agree in a band whose coordinates differ.
     """
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.octet_length("text")).alias("_bytes"))
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_bytes"))
     blocks = F.greatest(F.ceil(F.col("_rows") / BLOCK_ROWS), F.ceil(F.col("_bytes") / BLOCK_BYTES)).cast("int")
-    placed = lookup(members, sizes.select("band", "_rows", blocks.alias("blocks")), "band", "_rows")
+    placed = _join(members, store(sizes.select("band", "_rows", blocks.alias("blocks"))), "band")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     keys = ["band", "low", "high"]
-    met = met.select(*keys, "no", "id", "component", "block", "n", "bands", "sketch", "text")
+    met = met.join(details, "id").select(*keys, "no", "id", "component", "block", "n", "bands", "sketch", "text")
     met = met.repartition(*keys).sortWithinPartitions(*keys, "id")
 
     def links(parts):
@@ -168,10 +175,10 @@ def block_links(members: DataFrame) -> DataFrame:
             if not len(near):
                 continue
             alike = (sketches[near] == sketches[i]).sum(axis=1)
-            first = (buckets[near] == buckets[i]).argmax(axis=1)
-            kept = (alike >= LEAST_EQUAL) & (first == number)
-            if kept.any():
-                found.append((np.full(int(kept.sum()), i), near[kept], alike[kept]))
+            near, alike = near[alike >= LEAST_EQUAL], alike[alike >= LEAST_EQUAL]
+            first = (buckets[near] == buckets[i]).argmax(axis=1) == number
+            if first.any():
+                found.append((np.full(int(first.sum()), i), near[first], alike[first]))
         if not found:
             return
         left, right, alike = (np.concatenate(c) for c in zip(*found))
@@ -218,11 +225,11 @@ def block_links(members: DataFrame) -> DataFrame:
 def _still_open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members (band, no, id) of buckets with several components, with the component of each."""
     named = members.join(labels.withColumnsRenamed({"node": "id", "component": "_c"}), "id", "left")
-    named = named.withColumn("component", F.coalesce("_c", "id")).drop("_c")
+    named = store(named.withColumn("component", F.coalesce("_c", "id")).drop("_c"))
     found = named.groupBy("band").agg(
         F.count(F.lit(1)).alias("_rows"), F.min("component").alias("_low"), F.max("component").alias("_high")
     ).where(F.col("_low") != F.col("_high")).select("band", "_rows")
-    return lookup(named.select("band", "no", "id", "component"), found, "band", "_rows", hot_rows=HOT_NARROW_ROWS)
+    return _join(named.select("band", "no", "id", "component"), store(found), "band")
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
@@ -233,9 +240,10 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     others; if no member has a key, `component` is NULL and all its rows are kept. Rows that share a key count as one
     document.
     """
-    found = classify(rows.select(own_id(F.col("key"), F.col("text")).alias("id"), "text"))
+    ids = ids_of(rows, "key")
+    found = classify(rows.select(ids.own(F.col("key"), F.col("text")).alias("id"), "text"))
     return found.select(
-        given_id(F.col("id")).alias("key"), F.col("n").alias("n_shingles"), given_id(F.col("component")).alias("component"), "kept"
+        ids.given(F.col("id")).alias("key"), F.col("n").alias("n_shingles"), ids.given(F.col("component")).alias("component"), "kept"
     )
 
 
@@ -244,23 +252,25 @@ def classify(rows: DataFrame) -> DataFrame:
     signed = store(signatures(rows))
     full = signed.where(F.col("n") > 0)
     classes = full.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 1)
-    copies = lookup(full.select("id", "class"), classes, "class", "_rows", hot_rows=HOT_NARROW_ROWS)
+    copies = _join(full.select("id", "class"), store(classes), "class")
     copies = store(copies.where(F.col("id") != F.col("rep")).select("id", "rep"))
     reps = full.join(copies.select("id"), "id", "left_anti")
 
     banded = reps.select("id", F.posexplode("bands").alias("no", "band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("_rows"), F.min("id").alias("leader")).where(F.col("_rows") > 1)
-    buckets = buckets.withColumn("size", F.col("_rows"))
-    members = store(lookup(banded, buckets, "band", "_rows", hot_rows=HOT_NARROW_ROWS))
+    buckets = store(buckets.withColumn("size", F.col("_rows")))
+    members = store(_join(banded, buckets, "band"))
     texts = store(rows.join(members.select("id").distinct(), "id"))
     pairs = members.where(F.col("id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = store(verify(texts, pairs))
+    links = store(verify(texts, store(pairs)))
 
     # A bucket of two is settled; larger ones may hold links between members that are not linked to the smallest.
     large = members.where(F.col("size") > 2).select("band", "no", "id")
     labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    still = _still_open(large, labels).join(reps.select("id", "n", "bands", "sketch"), "id").join(texts, "id")
-    links = store(links.unionByName(block_links(still)))
+    still = store(_still_open(large, labels).join(texts.select("id", F.octet_length("text").alias("size")), "id"))
+    if not still.isEmpty():
+        details = reps.select("id", "n", "bands", "sketch").join(texts, "id")
+        links = store(links.unionByName(block_links(still, details)))
 
     edges = links.unionByName(copies.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     labels = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -271,8 +281,9 @@ def classify(rows: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each class the one with the smallest key, of equal rows one."""
-    marked = docs.withColumn("_id", own_id(F.col(key), F.col(text)))
-    kept = classify(marked.select(F.col("_id").alias("id"), F.col(text).alias("text"))).where("kept")
-    marked = marked.join(kept.select(F.col("id").alias("_id")).distinct(), "_id", "left_semi")
-    marked = marked.withColumn("_hash", F.xxhash64(F.col(text)))
-    return marked.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    marked = docs.select(
+        ids_of(docs, key).own(F.col(key), F.col(text)).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"),
+        F.struct(*docs.columns).alias("row"),
+    )
+    kept = classify(marked.select("id", "text")).where("kept").select("id").distinct()
+    return marked.join(kept, "id", "left_semi").dropDuplicates(["id", "hash"]).select("row.*")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import own_id
+from spanloom.llm.common import ids_of
 from spanloom.session import store
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,11 +87,12 @@ def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
     A row without a key counts by its content.
     """
-    marked = docs.withColumn("_id", own_id(F.col(key), F.col(text), F.col(source)))
-    taken = mix(marked.select(F.col("_id").alias("key"), F.col(source).alias("source"), F.col(text).alias("text")), **how)
-    times = taken.groupBy(F.col("key").alias("_id")).agg(F.max("repeats").alias("_times")).where(F.col("_times") > 0)
-    repeated = marked.join(times, "_id").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*docs.columns)
+    own = ids_of(docs, key).own(F.col(key), F.col(text), F.col(source))
+    marked = docs.select(own.alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    taken = mix(marked.select("key", "source", "text"), **how)
+    times = taken.groupBy("key").agg(F.max("repeats").alias("times")).where(F.col("times") > 0)
+    repeated = marked.select("key", "row").join(times, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select("row.*")
 
 
 ORACLE = f"""

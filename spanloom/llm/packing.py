@@ -14,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.records import encode_texts
-from spanloom.llm.tokens import CACHE_PIECES, ID_BYTES
+from spanloom.llm.records import END_ID
+from spanloom.llm.tokens import CACHE_PIECES, ID_BYTES, encoder
 from spanloom.session import store
 
 PIECES = "key bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -35,18 +35,24 @@ class Capacity:
     score: str = "norm"
 
 
-def cut_pieces(payloads: DataFrame, tokens: int) -> DataFrame:
-    """Pieces of rows (key, payload): only payloads of more than `tokens` ids are cut; the last piece may be shorter."""
+def cut_pieces(rows: DataFrame, path: str, tokens: int, end_id: int = END_ID, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+    """Pieces of rows (key, text): the ids of the whole text and the end id; a NULL text counts as empty.
+
+    Only sequences of more than `tokens` ids are cut; the last piece may be shorter. The ids stay in the task.
+    """
 
     def run(batches):
+        import struct
         import zlib
 
         import pyarrow as pa
 
-        step = tokens * ID_BYTES
+        step, end, known = tokens * ID_BYTES, struct.pack("<I", end_id), encoder(path, cache_pieces)
         for batch in batches:
             rows = []
-            for key, payload in zip(batch.column("key").to_pylist(), batch.column("payload").to_pylist()):
+            found = known.encode_all([text or "" for text in batch.column("text").to_pylist()])
+            for key, ids in zip(batch.column("key").to_pylist(), found):
+                payload = ids + end
                 for number, at in enumerate(range(0, len(payload), step)):
                     part = payload[at : at + step]
                     rows.append((key, number, at // ID_BYTES, len(part) // ID_BYTES, zlib.crc32(part)))
@@ -54,7 +60,7 @@ def cut_pieces(payloads: DataFrame, tokens: int) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * 5
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return payloads.mapInArrow(run, PIECES)
+    return rows.select("key", "text").mapInArrow(run, PIECES)
 
 
 def best_fit(lengths, capacity: Capacity) -> tuple[list[int], list[int], int]:
@@ -146,4 +152,4 @@ def pack_texts(
     rows: DataFrame, path: str, capacity: Capacity = Capacity(), cache_pieces: int = CACHE_PIECES
 ) -> DataFrame:
     """PACKED for rows (key, text): encode by the tokenizer file, end each text with id 0, cut and pack."""
-    return pack(cut_pieces(encode_texts(rows, path, cache_pieces=cache_pieces), capacity.tokens), capacity)
+    return pack(cut_pieces(rows, path, capacity.tokens, cache_pieces=cache_pieces), capacity)

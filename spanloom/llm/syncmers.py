@@ -3,9 +3,8 @@
 A k-mer of code points is an anchor if the smallest of its inner s-mers is the first or the last of them. That depends
 on the k-mer alone, so equal passages have equal anchors wherever they stand. A fingerprint is the sequence of anchors of
 the whole text: 24 bits of the hash of each k-mer, a bit that marks its scale, and the gap to the anchor before in seven
-(anchors are at most k - s apart), four bytes per anchor in base64. Texts of less than 512 code points also have the
-anchors of a finer scale, as few of the other would survive an edit there; a text that has no anchor has one of that scale,
-itself. Two fingerprints are matched by position: the n-th occurrence of a hash meets the n-th in the other, and the longest
+(anchors are at most k - s apart), four bytes per anchor in base64. Every text has the anchors of two scales, as few of
+the coarse one would survive an edit of a short text; a text that has no anchor has one of the finer scale, itself. Two fingerprints are matched by position: the n-th occurrence of a hash meets the n-th in the other, and the longest
 sequence of matches in the order of both counts. If only one of them has the finer scale, the anchors of the other count.
 """
 
@@ -20,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.chunks import code_points, sliding_min, span_hashes
-from spanloom.llm.common import given_id, own_id
+from spanloom.llm.common import ids_of
 
-# (k, s) of all texts, and the finer pair of texts shorter than SHORT.
-SCALES, SHORT = ((32, 10), (12, 4)), 512
+# (k, s) of the two scales; every text has the anchors of both.
+SCALES = ((32, 10), (12, 4))
 # The bit of an anchor that marks the finer scale, and the largest gap beside it.
 FINE, MOST_GAP = 0x80, 0x7F
 # Rows of a part of the key range, and the most parts, whose bounds and first keys are known to the driver.
@@ -41,7 +40,7 @@ def fingerprint(text: str) -> bytes:
         return b""
     points = code_points(text)
     places, hashes, marks = [], [], []
-    for mark, (k, s) in zip((0, FINE), SCALES[: 1 + (n < SHORT)]):
+    for mark, (k, s) in zip((0, FINE), SCALES):
         if n < k:
             continue
         heads = np.arange(n - s + 1)
@@ -113,7 +112,8 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     The next document has the next larger key; after the last comes the first. NULL counts as empty. Rows without a key
     come last; equal keys follow each other in the order of a hash of their texts. A single row is followed by itself.
     """
-    rows = rows.select(own_id(F.col("key"), F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = ids_of(rows, "key")
+    rows = rows.select(ids.own(F.col("key"), F.col("text")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     keys = rows.select("id", "tie")
     total = keys.count()
@@ -181,4 +181,4 @@ def fingerprints(rows: DataFrame) -> DataFrame:
             if found:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*found), kind)], schema=kind)
 
-    return dealt.mapInArrow(run, RESULT).withColumn("key", given_id(F.col("id"))).drop("id")
+    return dealt.mapInArrow(run, RESULT).withColumn("key", ids.given(F.col("id"))).drop("id")

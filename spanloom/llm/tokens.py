@@ -105,7 +105,8 @@ class PieceEncoder:
                 self.cache[piece] = old
                 continue
             body = piece.rstrip(_MARKS)
-            if body != piece and body[-1:].isalpha():
+            # Lower-casing may end a letter in a mark, which then joins those that follow.
+            if body != piece and body[-1:].isalpha() and body[-1:].lower().isalpha():
                 ended.append((piece, body))
                 if body in self.cache or body in pieces:
                     continue

@@ -122,7 +122,9 @@ def train(rows: DataFrame, labels: DataFrame) -> Scorer:
             found = [sorted(text_features(t)) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("key"), pa.array(found, pa.list_(pa.string()))], names=["key", "features"])
 
-    texts = rows.join(F.broadcast(chosen.select("key").distinct()), "key").dropDuplicates(["key"])
+    texts = rows.join(F.broadcast(chosen.select("key").distinct()), "key")
+    # Of the texts of a repeated key always the same one.
+    texts = texts.groupBy("key").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     texts = store(texts.select("key", "text").mapInArrow(run, "key bigint, features array<string>"))
     sampled = texts.join(F.broadcast(chosen), "key")
     n_plus, n_mixed = sampled.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()

@@ -26,7 +26,7 @@ from pyspark.sql.datasource import (
     StringStartsWith, WriterCommitMessage,
 )
 
-from spanloom.llm.common import given_id, open_fs, own_id
+from spanloom.llm.common import ids_of, open_fs
 from spanloom.session import broadcast_if_small, store
 from spanloom.skew import HOT_NARROW_ROWS, lookup
 
@@ -316,14 +316,17 @@ def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, compression
     responses.
     """
     register(pages.sparkSession)
+    ids = ids_of(pages, "key")
     rows = pages.select(
-        own_id(F.col("key"), F.col("uri"), F.col("payload")).alias("key"), "uri",
+        ids.own(F.col("key"), F.col("uri"), F.col("payload")).alias("key"), "uri",
         F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"),
     )
     # Where revisits are few, the pages need no shuffle to learn of them.
     found = broadcast_if_small(store(revisits(rows, least_bytes)))
     marked = rows.withColumn("digest", F.sha1("payload")).join(found, ["key", "digest"], "left")
-    marked = marked.select("key", "uri", "payload", "original")
+    # Made keys are no numbers in the archive, so that nobody takes them for given ones.
+    name = lambda c: F.coalesce(ids.given(F.col(c)).cast("string"), F.concat(F.lit("none-"), c)).alias(c)
+    marked = marked.select(name("key"), "uri", "payload", name("original"))
     marked.write.format(FORMAT).option("compression", compression).mode("append").save(folder)
 
 
@@ -333,4 +336,4 @@ def read_pages(spark: SparkSession, folder: str, payloads: bool = True) -> DataF
     rows = spark.read.format(FORMAT).option("payload", str(payloads).lower()).load(folder)
     pages = rows.where(F.col("record_type").isin(RESPONSE, REVISIT))
     number = lambda c: F.regexp_extract(c, f"^{ID_PREFIX}(-?[0-9]+)$", 1).try_cast("bigint")
-    return pages.withColumn("key", given_id(number("record_id"))).withColumn("refers_to", given_id(number("refers_to")))
+    return pages.withColumn("key", number("record_id")).withColumn("refers_to", number("refers_to"))

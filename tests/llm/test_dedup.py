@@ -98,8 +98,9 @@ def test_links_of_pairs_whose_sketches_agree_by_chance(spark):
             rows += [(key, texts[0]), (key + 1, texts[1])]
             key += 2
     frame = spark.createDataFrame(rows, "id bigint, text string")
-    members = minhash.signatures(frame).selectExpr("*", "posexplode(bands) AS (no, band)", "id AS component")
-    got = minhash.block_links(members.join(frame, "id")).collect()
+    details = minhash.signatures(frame).join(frame, "id")
+    members = details.selectExpr("id", "posexplode(bands) AS (no, band)", "id AS component", "octet_length(text) AS size")
+    got = minhash.block_links(members, details).collect()
     assert sorted((r.a, r.b) for r in got) == [(i, i + 1) for i in range(0, key, 2)]
 
 
@@ -199,20 +200,49 @@ def plain_syncmers(text, k, s):
 
 def test_anchors_are_closed_syncmers():
     text = prose(random.Random(8), 30)
-    k, s = syncmers.SCALES[0]
-    long = text * 5
-    anchors = syncmers.np.frombuffer(syncmers.fingerprint(long), "<u4")
-    assert len(long) >= syncmers.SHORT and len(anchors) == len(plain_syncmers(long, k, s))
-    total = sum(len(plain_syncmers(text, k, s)) for k, s in syncmers.SCALES)
-    assert len(syncmers.fingerprint(text)) == 4 * total
-
-
-def test_likeness_across_the_border_of_scales():
+    for one in (text, text * 5):
+        anchors = syncmers.np.frombuffer(syncmers.fingerprint(one), "<u4")
+        for fine, (k, s) in enumerate(syncmers.SCALES):
+            own = anchors[((anchors & syncmers.FINE) > 0) == fine]
+            places = plain_syncmers(one, k, s)
+            heads = syncmers.np.array(places)
+            hashes = syncmers.span_hashes(syncmers.code_points(one), heads, heads + k)
+            assert (own >> 8).tolist() == (hashes >> syncmers.np.uint64(40)).astype(int).tolist()
+
+
+def plain_likeness(a, b):
+    """The longest chain of equal (hash, scale, count so far) in the order of both, by the quadratic recurrence."""
+    def keys(data):
+        seen, found = {}, []
+        for anchor in syncmers.np.frombuffer(data, "<u4").tolist():
+            seen[anchor >> 7] = seen.get(anchor >> 7, -1) + 1
+            found.append((anchor >> 7, seen[anchor >> 7]))
+        return found
+
+    one, two = keys(a), keys(b)
+    best = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
+    for i, x in enumerate(one):
+        for j, y in enumerate(two):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return 2 * best[-1][-1] / (len(one) + len(two))
+
+
+def test_likeness_is_the_longest_chain():
+    rng = random.Random(21)
+    for _ in range(6):
+        text = prose(rng, 40)
+        parts = [text[i : i + 60] for i in range(0, len(text), 60)]
+        rng.shuffle(parts)
+        for other in ("".join(parts), text[:80] + prose(rng, 10) + text[80:], text * 2, prose(rng, 30)):
+            a, b = syncmers.fingerprint(text), syncmers.fingerprint(other)
+            assert syncmers.likeness(a, b) == plain_likeness(a, b)
+
+
+def test_likeness_at_any_length():
     rng = random.Random(12)
-    for n in (512, 550, 600, 680):
-        text = prose(rng, 200)[:n]
+    for n in (200, 512, 550, 600, 680, 3_000):
+        text = prose(rng, 800)[:n]
         new = syncmers.edited(text, "")
-        assert len(new) < syncmers.SHORT
         assert 0.75 < syncmers.likeness(syncmers.fingerprint(text), syncmers.fingerprint(new)) < 0.95
         short, long = text[:505], text[:505] + prose(rng, 5)[:15]
         assert syncmers.likeness(syncmers.fingerprint(long), syncmers.fingerprint(short)) > 0.85
@@ -221,7 +251,7 @@ def test_likeness_across_the_border_of_scales():
     assert syncmers.likeness(syncmers.fingerprint("a b"), syncmers.fingerprint(text)) == 0.0
     for n in (100, 400, 600):
         anchors = syncmers.np.frombuffer(syncmers.fingerprint(prose(rng, 200)[:n]), "<u4")
-        assert ((anchors & syncmers.FINE) > 0).any() == (n < syncmers.SHORT) and ((anchors & syncmers.FINE) == 0).any()
+        assert ((anchors & syncmers.FINE) > 0).any() and ((anchors & syncmers.FINE) == 0).any()
         assert (anchors & syncmers.MOST_GAP).max() <= 22
 
 

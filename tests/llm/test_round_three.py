@@ -4,15 +4,17 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontaminate, importance, infilling
+from spanloom.llm import boilerplate, decontaminate, importance, infilling, minhash, mixing, queries, syncmers, tokens, toxicity, warc
 from spanloom.llm.importance import Resampling
 from spanloom.llm.infilling import Infilling
+from spanloom.session import shared_folder
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LONG = "Zürich" * 40
@@ -245,3 +247,87 @@ def test_the_scan_runs_without_python(spark):
     plan = decontaminate.report(docs, spark.createDataFrame(items, "item bigint, text string"))._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
     assert not any(name in plan for name in ("InArrow", "InPandas", "BatchEvalPython", "ArrowEvalPython", "MapPartitions"))
+
+
+# ---------------------------------------------------------------- faults of the other operators that were mended
+
+
+HIGH = 1 << 62
+
+
+@pytest.mark.parametrize("lacking", [False, True])
+def test_ids_of_any_size(spark, lacking):
+    rng = random.Random(4)
+    texts = [prose(rng, 40) for _ in range(4)]
+    rows = [(HIGH + 5, texts[0]), (HIGH + 9, texts[0]), (3, texts[1]), (2**63 - 1, texts[1]), (HIGH, texts[2])]
+    rows += [(None, texts[0]), (None, texts[3])] * lacking
+    frame = spark.createDataFrame(rows, "key bigint, text string")
+    got = sorted(minhash.near_duplicates(frame).select("key", "component", "kept").collect(), key=repr)
+    want = [(HIGH + 5, HIGH + 5, True), (HIGH + 9, HIGH + 5, False), (3, 3, True), (2**63 - 1, 3, False), (HIGH, HIGH, True)]
+    want += [(None, HIGH + 5, False), (None, None, True)] * lacking
+    assert [tuple(r) for r in got] == sorted(want, key=repr)
+    found = syncmers.fingerprints(frame).collect()
+    assert sorted((r.key for r in found), key=repr) == sorted((k for k, _ in rows), key=repr)
+    folder = shared_folder(spark)
+    warc.write_pages(frame.selectExpr("key", "'u' AS uri", "text AS payload"), folder)
+    pages = [(r.key, r.record_type, r.refers_to) for r in warc.read_pages(spark, folder).collect()]
+    want = [(HIGH + 5, "response", None), (HIGH + 9, "revisit", HIGH + 5), (3, "response", None), (2**63 - 1, "revisit", 3), (HIGH, "response", None)]
+    want += [(None, "revisit", HIGH + 5), (None, "response", None)] * lacking
+    assert sorted(pages, key=repr) == sorted(want, key=repr)
+
+
+def test_ids_on_both_sides_and_lacking_ones_are_refused(spark):
+    frame = spark.createDataFrame([(-1, "a"), (HIGH, "b"), (None, "c")], "key bigint, text string")
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(frame)
+    assert minhash.near_duplicates(frame.where("key IS NOT NULL")).count() == 2
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "_id", "_n", "_hash", "id", "row", "hash", "key", "times", "n"]
+    docs = spark.createDataFrame([(i, f"word{i} " * 30, "s", *[f"mine-{i}"] * 9) for i in range(4)], names)
+    for got in (minhash.keep_one(docs), mixing.repeat(docs, share=1.0)):
+        assert got.columns == names and {tuple(r) for r in got.collect()} == {tuple(r) for r in docs.collect()}
+
+
+def test_pieces_that_end_in_a_mark_when_lowered():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer(queries.WORD_BPE)
+    known, plain = tokens.PieceEncoder(path), Tokenizer.from_file(path)
+    for text in ("İ. ve İ( da", "ABCİ- x", "İ", "a İ! İ? (İ)", "xİ.. yİ; İ"):
+        assert np.frombuffer(known.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_training_on_repeated_ids_is_repeatable(spark):
+    rng = random.Random(6)
+    rows = [(i % 30, prose(rng, 20) + (" zonk blorx" if i % 30 < 6 else "")) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(30)], "key bigint, toxic int")
+    frame = spark.createDataFrame(rows, "key bigint, text string")
+    turned = spark.createDataFrame(rows[::-1], "key bigint, text string").repartition(4)
+    assert toxicity.train(frame, labels) == toxicity.train(turned, labels)
+
+
+PROSE = "The council met on Monday and agreed to open the old bridge again after the long repair of the spring."
+
+
+@pytest.mark.parametrize("odd", [
+    "<script>for(i=0;i<n;i++){if(a<b){x='</p>'}}</script>", "<style>a<b{c:d}</style>", "<script>if (a<b) {", "<p class=a'b>", '<p title="abc>',
+])
+def test_odd_markup_does_not_swallow_the_article(odd):
+    page = f"<html><body><article><p>{PROSE}</p><p>If x<y then the rest stays. {PROSE}</p></article>{odd if odd.endswith('{') else ''}</body></html>"
+    if not odd.endswith("{"):
+        page = page.replace("<article>", f"<article>{odd}")
+    assert boilerplate.main_text(page) == f"{PROSE}\n\nIf x<y then the rest stays. {PROSE}"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>x", "</b>", "</p>x", "<article>x", "<h1>x", '<a b="', "<p>x", "<!", "<script>", "<li>x", "<div></p>"])
+def test_hostile_pages_are_read_in_proportion(piece):
+    took = []
+    for size in (100_000, 400_000):
+        page = piece * (size // len(piece))
+        started = time.perf_counter()
+        boilerplate.main_text(page)
+        took.append(time.perf_counter() - started)
+    # Four times the page; a quadratic reader takes sixteen times as long.
+    assert took[1] < 9 * took[0] + 0.3
