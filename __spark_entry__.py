@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 from functools import reduce
+from importlib.util import find_spec
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -36,6 +37,8 @@ OPTIONS = Options()
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     ship(spark)
+    # Other queries of the session may have set small batches for long texts.
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -59,7 +62,7 @@ def _once(spark: SparkSession, sf: str, name: str, make: Callable[[], DataFrame]
     """Build a table once per application and keep it as Parquet, as a corpus is indexed once and asked many times."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
-        _STORED[key] = store(make())
+        _STORED[key] = store(make(), keep=True)
     return _STORED[key]
 
 
@@ -142,25 +145,9 @@ def q_gazetteer_mentions(spark, sf):
     )
 
 
-class ByLength:
-    """A tagger that labels words by their length."""
-
-    def tag(self, sentences):
-        kinds = [(2, "O"), (3, "B-PER"), (5, "I-PER"), (7, "B-LOC"), (9, "I-LOC")]
-        tagged = []
-        for sentence in sentences:
-            at, tokens = 0, []
-            for word in sentence.split(" "):
-                label = next((name for most, name in kinds if len(word) <= most), "ORG")
-                tokens.append((label, at, at + len(word)))
-                at += len(word) + 1
-            tagged.append(tokens)
-        return tagged
-
-
 def q_merge_tag_spans(spark, sf):
     """The spans of a table of tagged tokens."""
-    sentences = _sentences(spark, sf).select("doc_id", "sentence_no", plugins.tag_column(F.col("sentence"), ByLength()).alias("tokens"))
+    sentences = _sentences(spark, sf).select("doc_id", "sentence_no", plugins.tag_column(F.col("sentence"), plugins.LengthTagger()).alias("tokens"))
     tokens = sentences.select("doc_id", "sentence_no", F.posexplode("tokens").alias("tok_idx", "token"))
     spans = prepare.merge_tag_spans(tokens.select("doc_id", "sentence_no", "tok_idx", "token.*"), ["doc_id", "sentence_no"])
     return spans.withColumnsRenamed({"start": schema.START, "end": schema.END, "type": schema.TYPE})
@@ -168,7 +155,7 @@ def q_merge_tag_spans(spark, sf):
 
 def q_tag_mentions(spark, sf):
     """The entities of a tagger that runs in Arrow batches."""
-    rows = prepare.tag_mentions(_sentences(spark, sf).select("doc_id", "sentence_no", "sentence"), ByLength())
+    rows = prepare.tag_mentions(_sentences(spark, sf).select("doc_id", "sentence_no", "sentence"), plugins.LengthTagger())
     return rows.select("doc_id", "sentence_no", schema.ENTITY, schema.START, schema.END, schema.TYPE)
 
 
@@ -176,8 +163,8 @@ def q_prepare_folder(spark, sf):
     """The documents as text files, one folder each and with equal names, read, tagged and written as a mention table."""
     folder = shared_folder(spark)
     texts = _table(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", "text")
-    texts.repartition(1).write.partitionBy("doc_id").text(f"{folder}/files")
-    preparation.prepare_folder(spark, f"{folder}/files", ByLength(), f"{folder}/mentions.tsv")
+    texts.repartition("doc_id").write.partitionBy("doc_id").text(f"{folder}/files")
+    preparation.prepare_folder(spark, f"{folder}/files", plugins.LengthTagger(), f"{folder}/mentions.tsv")
     rows = delimited.read_delimited(spark, f"{folder}/mentions.tsv", multi_line=False)
     whole = lambda c: F.col(c).cast("bigint").alias(c)
     number = F.regexp_extract("file_path", "doc_id=([0-9]+)/", 1).cast("bigint")
@@ -506,11 +493,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _added() -> tuple[dict, dict]:
     """Queries and SQL of the training-data operators, if their subpackage is there."""
-    try:
-        import corpus_pipeline
-        from spanloom.llm import queries as llm
-    except ImportError:
+    # Only their absence is no fault; an error inside them shows.
+    if find_spec("spanloom.llm") is None or find_spec("corpus_pipeline") is None:
         return {}, {}
+    import corpus_pipeline
+    from spanloom.llm import queries as llm
+
     return llm.QUERIES | {"pipeline": corpus_pipeline.run}, llm.ORACLES
 
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import plugins, text
@@ -133,13 +133,28 @@ def merged_spans(tokens: Column) -> Column:
 def merge_tag_spans(tokens: DataFrame, key: str | list[str] = "sent_id") -> DataFrame:
     """Join a table of tagged tokens (key, tok_idx, label, start, end) to entity spans (key, start, end, type).
 
-    The tokens of a sentence are brought together once, without other columns, and merged in their row.
+    The rules are those of `spans_of`, as gaps and islands: a gap is a token without type or width. The type of an entity
+    is that of the last token before that opened one, the first of an island or one not labelled I-; such a token begins
+    a new entity where its type is another. The tokens of a sentence meet once, and no row leaves the JVM.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    listed = tokens.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("tok_idx", "label", "start", "end"))).alias("_tokens")
+    order = Window.partitionBy(*keys).orderBy("tok_idx")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gap = (F.col("label") == "O") | (F.col("start") == F.col("end"))
+    kind = F.substring_index("label", "-", -1)
+    marked = tokens.select(
+        *keys, "tok_idx", "label", "start", "end", gap.alias("_gap"), kind.alias("_kind"),
+        (~gap & F.lag(gap, 1, True).over(order)).alias("_first"),
     )
-    return listed.select(*keys, F.explode(merged_spans(F.col("_tokens"))).alias("_span")).select(*keys, "_span.*")
+    opens = F.col("_first") | (~F.col("_gap") & ~F.col("label").startswith("I-"))
+    typed = marked.withColumn("_type", F.last(F.when(opens, F.col("_kind")), ignorenulls=True).over(so_far))
+    begins = F.col("_first") | (opens & (F.col("_kind") != F.lag("_type").over(order)))
+    numbered = typed.withColumn("_no", F.count_if(begins).over(so_far)).where(~F.col("_gap"))
+    place = F.col("tok_idx")
+    spans = numbered.groupBy(*keys, "_no").agg(
+        F.min_by("start", place).alias("start"), F.max_by("end", place).alias("end"), F.min_by("_kind", place).alias("type")
+    )
+    return spans.drop("_no")
 
 
 def tag_mentions(sentences: DataFrame, tagger: plugins.Tagger) -> DataFrame:

@@ -132,7 +132,7 @@ def create_corpus(
 def update_corpus(spark: SparkSession, store: CorpusStore, corpus_id: str, options: Options = DEFAULTS) -> None:
     """Build the index of a registered corpus again, with the settings it was created with; `options` has the others.
 
-    A build without a reduction removes that of an earlier one, as queries are reduced by what is stored.
+    Index and reduction belong to one build, which holds once both are written; until then the build before does.
     """
     meta = store.get(corpus_id)
     if meta is None:
@@ -145,12 +145,11 @@ def update_corpus(spark: SparkSession, store: CorpusStore, corpus_id: str, optio
     }
     settings = Options(**{**options.__dict__, **{k: v for k, v in kept.items() if v is not None}})
     rows, model = build_index(mentions, plugins.encoder_named(meta.encoder), meta.clustering_method, settings)
-    store.save_index(rows, corpus_id)
+    build = store.new_build()
+    store.save_index(rows, corpus_id, build)
     if model is not None:
-        model.write().overwrite().save(store.pca_path(corpus_id))
-    else:
-        store.drop_pca(corpus_id)
-    store.register(**{**meta.asDict(), "last_updated": _now()})
+        model.write().overwrite().save(store.pca_path(corpus_id, build))
+    store.publish(build, spark.createDataFrame([(corpus_id,)], "corpus_id string"))
 
 
 def _now() -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -72,15 +74,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder."""
+# The folders of the innermost `scratch`, those that are to be kept left out.
+_SCRATCH: list[list[str]] = []
+
+
+def shared_folder(spark: SparkSession, keep: bool = False) -> str:
+    """A new folder below the checkpoint folder; inside `scratch` it is deleted at the end unless it is to be kept."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables that are written inside, once what they were for is written elsewhere."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for folder in _SCRATCH.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def store(df: DataFrame) -> DataFrame:
+def store(df: DataFrame, keep: bool = False) -> DataFrame:
     """As `cut`, but written as Parquet: later reads take only the columns they need."""
-    folder = shared_folder(df.sparkSession)
+    folder = shared_folder(df.sparkSession, keep)
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
 

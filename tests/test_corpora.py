@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.functions import plugins
 from spanloom.options import Options
@@ -124,3 +125,34 @@ def test_command_line(spark, tmp_path, dataset, capsys):
     out = capsys.readouterr().out
     assert '"text": "clean_mention_sentence"' in out and "European Parliament" in out and "50.0%" in out
     assert CorpusStore(spark, str(tmp_path / "cli")).list().count() == 0
+
+
+def test_a_failed_build_leaves_the_old_corpus_whole(spark, tmp_path, dataset, monkeypatch):
+    store = CorpusStore(spark, str(tmp_path / "store"))
+    index.create_corpus(spark, store, "c", dataset, method="leader", options=Options(reduced_dimensions=4))
+    rows, build, updated = sorted(map(str, store.load_index("c").collect())), store.build_of("c"), store.get("c").last_updated
+    with open(dataset, "a") as handle:
+        handle.write("one more Red Cross,Red Cross,9,18,ORG,x.txt\n")
+    with monkeypatch.context() as patch:
+        # The index of the new build is written, its reduction is not.
+        patch.setattr(CorpusStore, "pca_path", lambda *_: (_ for _ in ()).throw(OSError("disk")))
+        with pytest.raises(OSError):
+            index.update_corpus(spark, store, "c")
+    assert len(store._children(f"{store.root}/index")) == 2
+    assert (store.build_of("c"), store.get("c").last_updated) == (build, updated) and store.has_pca("c")
+    assert sorted(map(str, store.load_index("c").collect())) == rows and store.index_rows().count() == len(rows)
+    index.update_corpus(spark, store, "c")
+    # What failed and what was replaced is gone.
+    assert store._children(f"{store.root}/index") == store._children(f"{store.root}/pca") == [f"build={store.build_of('c')}"]
+    assert store.load_index("c").count() == len(rows) + 1 and store.get("c").last_updated > updated and store.has_pca("c")
+    store.delete("c")
+    assert not store.has_index("c") and store.list().count() == 0
+
+
+def test_builds_of_several_corpora(spark, tmp_path):
+    store = CorpusStore(spark, str(tmp_path / "store"))
+    first = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "corpus_id string, row_id bigint")
+    store.save_index(first)
+    store.save_index(first.where("corpus_id = 'a'").withColumn("row_id", F.col("row_id") + 10))
+    assert sorted((r.corpus_id, r.row_id) for r in store.index_rows().collect()) == [("a", 11), ("a", 12), ("b", 3)]
+    assert len(store._children(f"{store.root}/index")) == 2
