@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +33,13 @@ def blend(mention: Column, context: Column, alpha: float) -> Column:
 
 
 def mean_pool(tokens: DataFrame, key: str, vector: str = "vector", mask: str = "mask") -> DataFrame:
-    """Masked mean of the token vectors per text: sum(token · mask) / max(sum(mask), 1e-9)."""
-    parts = tokens.select(key, mask, F.posexplode(vector).alias("dim", "x"))
-    sums = parts.groupBy(key, "dim").agg(
-        F.sum(F.col("x").cast("double") * F.col(mask)).alias("total"), F.sum(F.col(mask).cast("double")).alias("weight")
-    )
-    value = F.col("total") / F.greatest("weight", F.lit(1e-9))
-    packed = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dim", value.alias("x")))).alias("cells"))
-    return packed.select(key, F.transform("cells", lambda c: c["x"]).alias("pooled"))
+    """Masked mean of the token vectors per text: sum(token · mask) / max(sum(mask), 1e-9).
+
+    Each task adds up its tokens first, so at most one vector per text and task is shuffled. Tokens without a vector do
+    not count.
+    """
+    masked = F.transform(F.col(vector), lambda x: x.cast("double") * F.col(mask).cast("double"))
+    held = tokens.where(F.col(vector).isNotNull()).select(key, array_to_vector(masked).alias("_masked"), F.col(mask).cast("double").alias("_mask"))
+    sums = held.groupBy(key).agg(Summarizer.sum(F.col("_masked")).alias("_total"), F.sum("_mask").alias("_weight"))
+    weight = F.greatest("_weight", F.lit(1e-9))
+    return sums.select(key, F.transform(vector_to_array("_total"), lambda x: x / weight).alias("pooled"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import plugins, text
+from spanloom.session import cut
 from spanloom.sources import schema
 
 
@@ -31,6 +32,9 @@ def _words(sentences: DataFrame, pattern: str) -> DataFrame:
 
 
 PLACES = "array<struct<start: int, end: int>>"
+SPANS = "array<struct<start: int, end: int, type: string>>"
+# The largest term table that is sent to all executors, and what a term takes there besides its text.
+TERM_BYTES, TERM_ROW = 64 << 20, 400
 
 
 def _places(pattern: str) -> Column:
@@ -59,31 +63,65 @@ def frequent_words(sentences: DataFrame, pattern: str, min_count: int, ignore_ca
 
 
 def gazetteer_mentions(
-    sentences: DataFrame, terms: DataFrame, pattern: str, ignore_case: bool = False, most_words: int = 1
+    sentences: DataFrame, terms: DataFrame, pattern: str, ignore_case: bool = False, most_words: int = 1,
+    term_bytes: int = TERM_BYTES,
 ) -> DataFrame:
     """One mention for each occurrence of a term of the table, at its own place.
 
     Words are the matches of `pattern`, which Spark and Python must read alike, so no term is found inside a word. A term may have up to `most_words` of them;
     what stands between the words must be the same in the term. Of terms that overlap all are found. `terms` has the
-    column term and may have entity_type. The term table is joined as Spark sees fit: it is broadcast only if Spark
-    finds it small.
+    column term and may have entity_type. Terms of at most `term_bytes`, as measured, are sent to all executors, and one
+    pass over the sentences gives the mentions; larger tables are joined with all runs of words.
     """
     kind = F.col("entity_type") if "entity_type" in terms.columns else F.lit("TERM")
-    typed = terms.select(_folded("term", ignore_case).alias("_term"), kind.alias(schema.TYPE))
-    words = sentences.withColumn("_places", _places(pattern))
-    spans = F.concat(*[_runs(n) for n in range(most_words)])
-    found = words.withColumn("_span", F.explode(spans)).withColumn("_word", _cut(F.col("_span")["start"], F.col("_span")["end"]))
-    found = found.withColumn("_term", _folded("_word", ignore_case)).join(typed, "_term")
+    typed = cut(terms.select(_folded("term", ignore_case).alias("_term"), kind.alias(schema.TYPE)).where(F.col("_term").isNotNull()))
+    row = F.octet_length("_term") + F.coalesce(F.octet_length(schema.TYPE), F.lit(0)) + TERM_ROW
+    if (typed.agg(F.sum(row.cast("bigint"))).first()[0] or 0) <= term_bytes:
+        places = _known_places(sentences, typed, pattern, ignore_case, most_words)
+        found = sentences.withColumn("_span", F.explode(places)).withColumn(schema.TYPE, F.col("_span")["type"])
+    else:
+        words = sentences.withColumn("_places", _places(pattern))
+        found = words.withColumn("_span", F.explode(F.concat(*[_runs(n) for n in range(most_words)])))
+        found = found.withColumn("_word", _cut(F.col("_span")["start"], F.col("_span")["end"]))
+        found = found.withColumn("_term", _folded("_word", ignore_case)).join(typed, "_term")
     return found.select(
         *[c for c in sentences.columns if c != "sentence"],
         F.col("sentence").alias(schema.SENTENCE),
-        F.col("_word").alias(schema.ENTITY),
+        _cut(F.col("_span")["start"], F.col("_span")["end"]).alias(schema.ENTITY),
         F.col("_span")["start"].alias(schema.START),
         F.col("_span")["end"].alias(schema.END),
         schema.TYPE,
     )
 
 
+def _known_places(sentences: DataFrame, typed: DataFrame, pattern: str, ignore_case: bool, most_words: int) -> Column:
+    """The places (start, end, type) of the terms in a sentence: each run of words is looked up where it stands."""
+    compiled, kinds = re.compile(pattern), {}
+    known = typed.toArrow()
+    for term, kind in zip(*(known.column(i).to_pylist() for i in (0, 1))):
+        kinds.setdefault(term, []).append(kind)
+    shared = sentences.sparkSession.sparkContext.broadcast(kinds)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind, terms = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string())])), shared.value
+        for batch in batches:
+            rows = []
+            for sentence in batch.fill_null("").to_pylist():
+                folded = sentence.lower() if ignore_case else sentence
+                # Places in the folded sentence are those of the sentence unless a letter grew; a final sigma hangs on its place.
+                folded = folded if len(folded) == len(sentence) and "Σ" not in sentence else None
+                words, found = [m.span() for m in compiled.finditer(sentence)], []
+                for number, (start, _) in enumerate(words):
+                    for _, end in words[number : number + most_words]:
+                        piece = folded[start:end] if folded is not None else sentence[start:end].lower()
+                        if piece in terms:
+                            found += [{"start": start, "end": end, "type": k} for k in terms[piece]]
+                rows.append(found)
+            yield pa.array(rows, kind)
+
+    return F.arrow_udf(run, SPANS)(F.col("sentence"))
+
+
 def _runs(more: int) -> Column:
     """The places of each word together with the `more` words after it."""
     firsts = F.slice("_places", F.lit(1), F.greatest(F.size("_places") - more, F.lit(0)))
@@ -96,9 +134,6 @@ def _cut(start: Column, end: Column) -> Column:
     return F.substring(F.col("sentence"), (start + 1).cast("int"), (end - start).cast("int"))
 
 
-SPANS = "array<struct<start: int, end: int, type: string>>"
-
-
 def spans_of(tokens: Iterable[tuple[str, int, int]]) -> list[dict]:
     """The entity spans of the tokens (label, start, end) of one sentence.
 

@@ -80,6 +80,22 @@ def test_gazetteer(spark):
     assert words.where("term = 'Paris'").first().sentences == 1
 
 
+@pytest.mark.parametrize("fold", [False, True])
+def test_terms_sent_and_joined_give_the_same(spark, fold):
+    chance = random.Random(3)
+    names = ["Ada", "ada", "Rome", "İzmir", "Straße", "von", "der", "O'Neil", "日本"]
+    rows = [(i, chance.choice([" ", ", "]).join(chance.choices(names, k=chance.randint(0, 9)))) for i in range(80)] + [(99, None)]
+    sentences = spark.createDataFrame(rows, "doc_id int, sentence string")
+    terms = [(f"{a} {b}", "TWO") for a in names[:5] for b in names[:5]] + [(a, "ONE") for a in names] + [("Rome", "ALSO"), (None, "NONE")]
+    terms += [("von der Ada", "THREE"), ("Rome, Rome", "TWO"), ("ada von der Rome Ada", "FIVE")]
+    table = spark.createDataFrame(terms, "term string, entity_type string")
+    sent = prepare.gazetteer_mentions(sentences, table, r"[\w']+", fold, 5)
+    joined = prepare.gazetteer_mentions(sentences, table, r"[\w']+", fold, 5, term_bytes=0)
+    assert "Exchange" not in sent._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, sent.collect()))
+    assert got == sorted(map(tuple, joined.collect())) and {"ONE", "TWO", "ALSO"} <= {r[-1] for r in got}
+
+
 def spans_of(spark, sequences):
     rows = [(i, j, *token) for i, tokens in enumerate(sequences) for j, token in enumerate(tokens)]
     df = spark.createDataFrame(rows, "sent_id int, tok_idx int, label string, start int, end int")
