@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import plugins, text, vectors
 from spanloom.operators import cluster, components, cooccur, knn, medoids, prepare, search
 from spanloom.options import Options
-from spanloom.plans import index, preparation
+from spanloom.plans import index, interrogate, preparation
 from spanloom.session import cut, number_rows, shared_folder, ship, spread, store
 from spanloom.sources import delimited, schema
 from spanloom.sources.corpora import CorpusStore
@@ -28,6 +28,8 @@ MIN_SENTENCES = 10
 ORDER = ("document_id", "sentence_no", "mention_start", "clean_entity_mention")
 # The embeddings hold no pair at the default of 0.70, so a lower threshold is used on them.
 EMBEDDING_THRESHOLD = 0.35
+# Occurrences with a full stop, and their share, that make an abbreviation in these texts.
+LEAST_DOTTED, DOTTED_PERCENT = 5, 20
 ENCODER = plugins.HashedTrigramEncoder()
 OPTIONS = Options()
 
@@ -139,6 +141,20 @@ def q_split_sentences(spark, sf):
     return _sentences(spark, sf).select("doc_id", F.col("sentence_no").cast("bigint").alias("sentence_no"), "sentence")
 
 
+def q_abbreviations(spark, sf):
+    """Short words that nearly always have a full stop behind them. No word of these texts does so as often as asked by
+    default, so a lower share is asked."""
+    return prepare.learn_abbreviations(_table(spark, sf, "documents"), least=LEAST_DOTTED, percent=DOTTED_PERCENT)
+
+
+def q_split_sentences_abbreviations(spark, sf):
+    """Sentences that go on behind the abbreviations that were learnt from the same documents."""
+    documents = _table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    known = prepare.learn_abbreviations(documents, least=LEAST_DOTTED, percent=DOTTED_PERCENT)
+    rows = prepare.split_sentences(spread(documents, "doc_id"), abbreviations=known)
+    return rows.select("doc_id", F.col("sentence_no").cast("bigint").alias("sentence_no"), "sentence")
+
+
 def q_gazetteer_mentions(spark, sf):
     return _found_mentions(spark, sf).select(
         "document_id", "source_language", "sentence_no", schema.SENTENCE, schema.ENTITY, schema.START, schema.END, schema.TYPE
@@ -296,6 +312,24 @@ def q_topk_combined(spark, sf):
     return hits.select("query_id", "rank", "row_id", "similarity_score")
 
 
+def q_topk_reduced(spark, sf):
+    """Each fiftieth embedding asked against a stored index through its stored reduction.
+
+    The vectors get a constant entry and lose one dimension, so what is left is the centring.
+    """
+    store_ = CorpusStore(spark, shared_folder(spark))
+    rows = cut(_embeddings(spark, sf).withColumn("vec", F.concat("vec", F.array(F.lit(1.0).cast("float")))))
+    queries = rows.where(F.col("row_id") % 50 == 0).select(F.col("row_id").alias("query_id"), F.col("vec").alias("query_vec"))
+    build = store_.new_build()
+    model = index.fit_reduction(rows, 64, "vec")
+    store_.save_index(index.reduce_vectors(rows, model, "vec").withColumnRenamed("vec", "combined_vec"), "embeddings", build)
+    model.write().save(store_.pca_path("embeddings", build))
+    store_.publish(build, spark.createDataFrame([("embeddings",)], "corpus_id string"))
+    reduced = cut(interrogate.reduced_queries(store_, "embeddings", queries))
+    hits = search.search(reduced, store_.load_index("embeddings"), k=10, min_score=0.1, vector="combined_vec", options=OPTIONS)
+    return hits.select("query_id", "rank", "row_id", F.round("similarity_score", 4).alias("similarity_score"))
+
+
 def q_similar_sentences(spark, sf):
     targets = _text_queries(spark, sf)
     return search.similar_sentences(targets, _indexed(spark, sf))

@@ -28,6 +28,13 @@ sentences AS (
   FROM (SELECT doc_id, lang, source, unnest(a) AS s, generate_subscripts(a, 1) AS i FROM parts)
   WHERE length(trim(s, {_BLANKS})) > 0)"""
 
+ABBREVIATIONS = """,
+runs AS (SELECT unnest(regexp_extract_all(clean, '[A-Za-zÀ-ÿ]+\\.?')) AS run FROM docs),
+abbreviations AS (
+  SELECT lower(rtrim(run, '.')) AS word, count(*) FILTER (ends_with(run, '.')) AS dotted,
+         count(*) FILTER (NOT ends_with(run, '.')) AS plain
+  FROM runs WHERE length(rtrim(run, '.')) <= 4 GROUP BY word HAVING dotted >= 5 AND 100 * dotted >= 20 * (dotted + plain))"""
+
 MENTIONS = SENTENCES + f""",
 located AS (
   SELECT *, regexp_extract_all(sentence, '{_WORD}') AS texts, regexp_split_to_array(sentence, '{_WORD}') AS gaps FROM sentences),
@@ -253,6 +260,21 @@ _ORDER = "document_id, sentence_no, mention_start, clean_entity_mention"
 
 ORACLES: dict[str, str] = {
     "clean_text": _rows(DOCS, "SELECT doc_id, clean FROM docs"),
+    "abbreviations": _rows(DOCS + ABBREVIATIONS, "SELECT word, dotted, plain FROM abbreviations"),
+    "split_sentences_abbreviations": _rows(
+        SENTENCES
+        + ABBREVIATIONS
+        + """,
+ends AS (
+  SELECT doc_id, i, s, coalesce(lower(regexp_extract(s, '(?:^|[^\\p{L}])([A-Za-zÀ-ÿ]+)\\.$', 1)) IN (SELECT word FROM abbreviations), false) AS on
+  FROM (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS i FROM parts)),
+grouped AS (
+  SELECT *, sum(CASE WHEN coalesce(before, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS no
+  FROM (SELECT *, lag(ends.on) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM ends)),
+whole AS (SELECT doc_id, no, string_agg(s, ' ' ORDER BY i) AS s FROM grouped GROUP BY doc_id, no)""",
+        f"""SELECT doc_id, CAST(no - 1 AS BIGINT) AS sentence_no, trim(s, {_BLANKS}) AS sentence
+FROM whole WHERE length(trim(s, {_BLANKS})) > 0""",
+    ),
     "split_sentences": _rows(SENTENCES, "SELECT doc_id, sentence_no, sentence FROM sentences"),
     "gazetteer_mentions": _rows(
         MENTIONS,
@@ -321,6 +343,18 @@ centred AS (SELECT row_id, list(x - m ORDER BY dim) AS v FROM cells JOIN middle
         """SELECT a.row_id, round(list_cosine_similarity(a.v, b.v), 4) AS cosine
 FROM centred a JOIN centred b ON b.row_id = a.row_id + 1""",
     ),
+    "topk_reduced": _rows(
+        EMBEDDINGS
+        + """,
+cells AS (SELECT row_id, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM vecs),
+middle AS (SELECT dim, avg(x) AS m FROM cells GROUP BY dim),
+centred AS (SELECT row_id, list(x - m ORDER BY dim) AS v FROM cells JOIN middle USING (dim) GROUP BY row_id),
+scores AS (
+  SELECT a.row_id AS query_id, b.row_id, round(list_cosine_similarity(a.v, b.v), 6) AS score
+  FROM centred a JOIN centred b ON a.row_id % 50 = 0 AND b.row_id >= 0)"""
+        + hits("10", 0.1),
+        "SELECT query_id, rank, row_id, round(similarity_score, 4) AS similarity_score FROM hits",
+    ),
     "cosine_pairs": _rows(
         BOTH_VECS,
         f"""SELECT {_ORDER}, {dot('m.vec', 'c.vec')} AS cosine

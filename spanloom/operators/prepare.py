@@ -14,12 +14,64 @@ from spanloom.session import cut
 from spanloom.sources import schema
 
 
-def split_sentences(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per non-blank sentence, numbered by `sentence_no` within its document; no shuffle."""
-    others = [c for c in documents.columns if c != text_col]
-    parts = documents.select(
-        *others, F.posexplode(text.sentences_of(text.clean_text(F.col(text_col)))).alias("sentence_no", "_part")
+# What a word that may be an abbreviation is made of.
+LETTERS = "[A-Za-zÀ-ÿ]"
+
+
+def learn_abbreviations(
+    documents: DataFrame, text_col: str = "text", least: int = 5, percent: int = 90, longest: int = 4
+) -> DataFrame:
+    """(word, dotted, plain): short words that nearly always have a full stop behind them, from all documents.
+
+    After Kiss and Strunk, "Unsupervised Multilingual Sentence Boundary Detection", 2006: an abbreviation and its full stop
+    go together wherever they stand, while a word that only ends sentences also stands inside them. Words are runs of
+    letters, compared in lower case; `least` occurrences with the full stop and `percent` of all are asked.
+    """
+    found = F.regexp_extract_all(text.clean_text(F.col(text_col)), F.lit(rf"{LETTERS}+\.?"), F.lit(0))
+    words = documents.select(F.explode(found).alias("_found")).select(
+        F.lower(F.rtrim("_found", F.lit("."))).alias("word"), F.col("_found").endswith(".").alias("_dotted")
     )
+    counted = words.where(F.length("word") <= longest).groupBy("word").agg(
+        F.count_if("_dotted").alias("dotted"), F.count_if(~F.col("_dotted")).alias("plain")
+    )
+    return counted.where((F.col("dotted") >= least) & (100 * F.col("dotted") >= percent * (F.col("dotted") + F.col("plain"))))
+
+
+def _joined(parts: Column, abbreviations: DataFrame) -> Column:
+    """The parts of a text, each put together with the next one while it ends in an abbreviation and one full stop."""
+    # Words of a few letters: one row for each that was learnt.
+    known = frozenset(r.word for r in abbreviations.select("word").distinct().collect())
+    last = re.compile(rf"(?<![^\W\d_])({LETTERS}+)\.$")
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                whole: list[str] = []
+                open_end = False
+                for part in row or ():
+                    if open_end:
+                        whole[-1] += " " + part
+                    else:
+                        whole.append(part)
+                    match = last.search(part)
+                    open_end = match is not None and match.group(1).lower() in known
+                rows.append(None if row is None else whole)
+            yield pa.array(rows, pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(parts)
+
+
+def split_sentences(documents: DataFrame, text_col: str = "text", abbreviations: DataFrame | None = None) -> DataFrame:
+    """One row per non-blank sentence, numbered by `sentence_no` within its document; no shuffle.
+
+    A full stop behind one of the `abbreviations` (word) does not end a sentence.
+    """
+    others = [c for c in documents.columns if c != text_col]
+    split = text.sentences_of(text.clean_text(F.col(text_col)))
+    if abbreviations is not None:
+        split = _joined(split, abbreviations)
+    parts = documents.select(*others, F.posexplode(split).alias("sentence_no", "_part"))
     return parts.select(*others, "sentence_no", text.strip(F.col("_part")).alias("sentence")).where(
         F.length("sentence") > 0
     )

@@ -35,13 +35,19 @@ def query_corpus(
     vector = "mention_vec"
     if not entity_vector_only:
         vector = "combined_vec"
-        if store.has_pca(corpus_id):
-            queries = reduce_vectors(queries, PipelineModel.load(store.pca_path(corpus_id)), "query_vec")
+        queries = reduced_queries(store, corpus_id, queries)
     return search.search(
         queries, corpus, k=k, min_score=min_score, vector=vector, reranker=reranker, options=options
     )
 
 
+def reduced_queries(store: CorpusStore, corpus_id: str, queries: DataFrame) -> DataFrame:
+    """The query vectors as the stored reduction of the corpus changes them; without one they stay."""
+    if not store.has_pca(corpus_id):
+        return queries
+    return reduce_vectors(queries, PipelineModel.load(store.pca_path(corpus_id)), "query_vec")
+
+
 def similar_to(store: CorpusStore, corpus_id: str, sentences: DataFrame, k: int | None = None) -> DataFrame:
     """Rows with contexts similar to the given sentences (query_id, sentence)."""
     encoder = plugins.encoder_named(store.get(corpus_id).encoder)

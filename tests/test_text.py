@@ -63,6 +63,18 @@ def test_clean_and_split(spark):
     assert prepare.split_sentences(df).where("doc_id = 2").count() == 0
 
 
+def test_abbreviations(spark):
+    often = [(i, f"Dr. Meyer came to see prof. Lang on day {i}. It was late. We met Dr. Lang.") for i in range(6)]
+    df = spark.createDataFrame([*often, (10, "It is. Late it was."), (11, None)], "doc_id int, text string")
+    known = prepare.learn_abbreviations(df)
+    assert {r.word: (r.dotted, r.plain) for r in known.collect()} == {"dr": (12, 0), "prof": (6, 0)}
+    rows = prepare.split_sentences(df, abbreviations=known).where("doc_id = 0").orderBy("sentence_no").collect()
+    assert [r.sentence for r in rows] == ["Dr. Meyer came to see prof. Lang on day 0.", "It was late.", "We met Dr. Lang."]
+    end = spark.createDataFrame([(1, "a Dr... b"), (2, "x3dr. y"), (3, "Dr.")], "doc_id int, text string")
+    got = prepare.split_sentences(end, abbreviations=known).orderBy("doc_id", "sentence_no").collect()
+    assert [r.sentence for r in got] == ["a Dr...", "b", "x3dr. y", "Dr."]
+
+
 def test_gazetteer(spark):
     sentences = spark.createDataFrame([(1, "Parisian Paris and Rome, Paris."), (2, "no name"), (3, None)], "doc_id int, sentence string")
     terms = spark.createDataFrame([("paris", "LOC"), ("rome", "LOC")], "term string, entity_type string")
