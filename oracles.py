@@ -322,9 +322,9 @@ FROM rows""",
 FROM (SELECT *, unnest(vec) AS x, unnest(range(len(vec))) AS dim FROM rows JOIN m ON m.item = rows.mention) WHERE x <> 0""",
     ),
     "l2_normalize": _rows(
-        """tripled AS (SELECT vec_id AS row_id, [CAST(x * CAST(3 AS FLOAT) AS FLOAT) for x in embedding] AS v
+        """tripled AS (SELECT vec_id AS row_id, [CAST(x * CAST(CASE WHEN vec_id % 7 = 0 THEN 0 ELSE 3 END AS FLOAT) AS FLOAT) for x in embedding] AS v
                     FROM embeddings),
-unit AS (SELECT row_id, [CAST(x / length AS FLOAT) for x in v] AS vec
+unit AS (SELECT row_id, [CAST(x / CASE WHEN length > 0 THEN length ELSE 1 END AS FLOAT) for x in v] AS vec
          FROM (SELECT row_id, v, sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))) AS length FROM tripled))""",
         long_form("unit"),
     ),
@@ -462,6 +462,26 @@ named AS (
         "SELECT row_id, dense_rank() OVER (ORDER BY c) - 1 AS cluster_id FROM named",
         recursive=True,
     ),
+    # One merge at a time: the two clusters of the most similar means, of equal ones the first.
+    "cluster_agglomerative": _rows(
+        EMBEDDINGS
+        + f""",
+state(step, id, vec, size, members) AS (
+  SELECT 0, row_id, vec, 1, [row_id] FROM vecs
+  UNION ALL
+  (WITH now AS (SELECT * FROM state),
+   best AS (
+     SELECT a.id AS one, b.id AS two, [(a.vec[i] * a.size + b.vec[i] * b.size) / (a.size + b.size) for i in range(1, len(a.vec) + 1)] AS mean,
+            b.size AS more, b.members AS others
+     FROM now a JOIN now b ON a.id < b.id WHERE {dot('a.vec', 'b.vec')} > 0.35
+     ORDER BY {dot('a.vec', 'b.vec')} DESC, a.id, b.id LIMIT 1)
+   SELECT step + 1, id, CASE WHEN id = one THEN mean ELSE vec END, CASE WHEN id = one THEN size + more ELSE size END,
+          CASE WHEN id = one THEN list_concat(members, others) ELSE members END
+   FROM now, best WHERE id <> two)),
+ended AS (SELECT id, unnest(members) AS row_id FROM state WHERE step = (SELECT max(step) FROM state))""",
+        "SELECT row_id, dense_rank() OVER (ORDER BY id) - 1 AS cluster_id FROM ended",
+        recursive=True,
+    ),
     "cluster_leader": _rows(
         EMBEDDINGS
         + f""",
@@ -553,3 +573,4 @@ scores AS (SELECT t.query_id, r.row_id, t.score FROM texts t JOIN rows r ON r.me
         "SELECT query_id, rank, row_id, similarity_score FROM hits",
     ),
 }
+ORACLES["mutual_knn_edges_bounded"] = ORACLES["mutual_knn_edges_mentions"]
