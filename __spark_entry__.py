@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import plugins, text, vectors
-from spanloom.operators import cluster, components, cooccur, knn, medoids, prepare, search
+from spanloom.operators import blocked, cluster, components, cooccur, knn, medoids, prepare, search
 from spanloom.options import Options
 from spanloom.plans import index, interrogate, preparation
 from spanloom.session import cut, number_rows, shared_folder, ship, spread, store
@@ -299,6 +299,15 @@ def q_topk_query(spark, sf):
     return hits.select("query_id", "rank", "row_id", "similarity_score", schema.SENTENCE, schema.ENTITY)
 
 
+def q_topk_blocks(spark, sf):
+    """The same hits from an index in blocks, of which only those are read that can enter a pool."""
+    corpus, folder = _indexed(spark, sf), shared_folder(spark)
+    blocked.write_blocks(corpus.select("row_id", "mention_vec"), folder, "mention_vec", block_rows=256)
+    held = blocked.Blocks(spark, folder, "mention_vec")
+    hits = search.search(_word_queries(spark, sf), corpus, options=OPTIONS, blocks=held)
+    return hits.select("query_id", "rank", "row_id", "similarity_score", schema.SENTENCE, schema.ENTITY)
+
+
 def q_topk_own_limits(spark, sf):
     """Each query with its own k: the number of its letters."""
     queries = _word_queries(spark, sf).withColumn("k", F.length("term"))

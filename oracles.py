@@ -574,3 +574,4 @@ scores AS (SELECT t.query_id, r.row_id, t.score FROM texts t JOIN rows r ON r.me
     ),
 }
 ORACLES["mutual_knn_edges_bounded"] = ORACLES["mutual_knn_edges_mentions"]
+ORACLES["topk_blocks"] = ORACLES["topk_query"]
