@@ -420,6 +420,14 @@ def q_build_index(spark, sf):
     )
 
 
+def q_build_index_whole_vectors(spark, sf):
+    """The whole build without a reduction, which SQL can follow."""
+    whole = Options(reduced_dimensions=ENCODER.dim)
+    rows, model = index.build_index(_numbered(spark, sf), ENCODER, "leader", whole)
+    assert model is None
+    return rows.select("row_id", schema.SENTENCE, schema.ENTITY, "mention", "cluster_id", "cluster_canonical_mention")
+
+
 def q_cluster_leader_mentions(spark, sf):
     """Mentions clustered by their mention vectors; copies of a term follow its first mention."""
     rows = _indexed(spark, sf).select("row_id", F.col("mention_vec").alias("vec"))

@@ -520,6 +520,41 @@ followed AS (
         "SELECT row_id, dense_rank() OVER (ORDER BY leader) - 1 AS cluster_id FROM followed",
         recursive=True,
     ),
+    # Single precision sorts out nearly all pairs before the exact score.
+    "build_index_whole_vectors": _rows(
+        BLENDS
+        + f""",
+held AS MATERIALIZED (SELECT row_id, vec, CAST(vec AS FLOAT[{_DIM}]) AS quick FROM blends),
+firsts AS MATERIALIZED (SELECT min(row_id) AS row_id, vec, quick FROM held GROUP BY vec, quick),
+pairs AS MATERIALIZED (
+  SELECT a.row_id, b.row_id AS other FROM firsts a JOIN firsts b ON b.row_id < a.row_id
+  WHERE array_inner_product(a.quick, b.quick) >= 0.699),
+near AS (
+  SELECT p.row_id, list(p.other) AS near FROM pairs p JOIN firsts a ON a.row_id = p.row_id JOIN firsts b ON b.row_id = p.other
+  WHERE {dot('a.vec', 'b.vec')} >= 0.7 GROUP BY p.row_id),
+ordered AS MATERIALIZED (
+  SELECT f.row_id, row_number() OVER (ORDER BY f.row_id) AS place, coalesce(near, []) AS near
+  FROM firsts f LEFT JOIN near USING (row_id))"""
+        + LEADERS
+        + f""",
+lead_vecs AS MATERIALIZED (SELECT f.row_id AS leader, f.vec, f.quick FROM firsts f JOIN leads ON leads.leader = f.row_id),
+close AS (
+  SELECT h.row_id, l.leader, {dot('h.vec', 'l.vec')} AS sim FROM held h JOIN lead_vecs l ON l.leader <= h.row_id
+  WHERE array_inner_product(h.quick, l.quick) >= 0.699),
+followed AS (
+  SELECT row_id, leader FROM close WHERE sim >= 0.7
+  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY leader = row_id DESC, sim DESC, leader) = 1),
+clusters AS MATERIALIZED (SELECT row_id, dense_rank() OVER (ORDER BY leader) - 1 AS cluster_id FROM followed),
+cells AS (SELECT cluster_id, unnest(vec) AS x, unnest(range({_DIM})) AS dim FROM clusters JOIN held USING (row_id)),
+means AS (SELECT cluster_id, list(m ORDER BY dim) AS v FROM (SELECT cluster_id, dim, avg(CAST(x AS DOUBLE)) AS m FROM cells GROUP BY cluster_id, dim) GROUP BY cluster_id),
+middles AS (SELECT cluster_id, [x / length for x in v] AS centroid FROM (SELECT cluster_id, v, sqrt(list_dot_product(v, v)) AS length FROM means)),
+best AS (
+  SELECT cluster_id, row_id AS medoid FROM clusters JOIN held USING (row_id) JOIN middles USING (cluster_id)
+  QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY {dot('vec', 'centroid')} DESC, row_id) = 1)""",
+        """SELECT r.row_id, r.clean_mention_sentence, r.clean_entity_mention, r.mention, c.cluster_id, m.mention AS cluster_canonical_mention
+FROM rows r JOIN clusters c USING (row_id) JOIN best b ON b.cluster_id = c.cluster_id JOIN rows m ON m.row_id = b.medoid""",
+        recursive=True,
+    ),
     "cluster_medoids": _rows(
         MEDOIDS,
         """SELECT v.row_id, CAST(v.label AS BIGINT) AS cluster_id, 'vec-' || b.row_id AS cluster_canonical_mention
