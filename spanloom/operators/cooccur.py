@@ -25,6 +25,11 @@ def _in_hits(corpus: DataFrame, hits: DataFrame | None) -> DataFrame:
     return corpus.join(broadcast_if_small(hits), schema.SENTENCE, "left_semi")
 
 
+def _same(sentence: Column) -> Column:
+    """32 bytes that stand for a sentence where only its identity counts, so that texts are not shuffled: its SHA-256."""
+    return F.unhex(F.sha2(sentence, 256))
+
+
 def _key(label: Column, ignore_case: bool) -> Column:
     return F.lower(label) if ignore_case else label
 
@@ -51,12 +56,13 @@ def cooccurring_entities(
     """
     # The hits are written down: the result behind them is costly and read twice, and their size decides the join.
     hits = None if results is None else cut(hit_sentences(results))
-    total = (hit_sentences(corpus) if hits is None else hits).agg(F.count(F.lit(1))).scalar()
+    spread = corpus.where(F.col(schema.SENTENCE).isNotNull()).select(_same(F.col(schema.SENTENCE))).distinct() if hits is None else hits
+    total = spread.agg(F.count(F.lit(1))).scalar()
     spoken = text.mention_context(_in_hits(corpus, hits), "_mention", "_context")
     both_offsets = text.is_present(spoken, schema.START) & text.is_present(spoken, schema.END)
     named = both_offsets | (F.col("_mention") != F.col(schema.SENTENCE))
     rows = spoken.where(named & ~F.col("_mention").isin("", "nan")).select(
-        F.col(schema.SENTENCE).alias("_sentence"),
+        _same(F.col(schema.SENTENCE)).alias("_sentence"),
         _key(F.col("_mention"), ignore_case).alias("key"),
         F.col("_mention").alias("form"),
         F.struct(*order_by).alias("_order"),
@@ -91,7 +97,7 @@ def _labels(corpus: DataFrame, hits: DataFrame | None, use_medoids: bool, ignore
     label = text.strip(F.col("cluster_canonical_mention" if medoid else schema.ENTITY))
     return (
         _in_hits(corpus, hits)
-        .select(text.strip(F.col(schema.SENTENCE)).alias("sentence"), label.alias("form"), F.struct(*order_by).alias("_order"))
+        .select(_same(text.strip(F.col(schema.SENTENCE))).alias("sentence"), label.alias("form"), F.struct(*order_by).alias("_order"))
         .where(~F.col("form").isin("", "nan"))
         .withColumn("key", _key(F.col("form"), ignore_case))
     )
