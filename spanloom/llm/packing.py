@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.records import END_ID
-from spanloom.llm.tokens import CACHE_PIECES, ID_BYTES, encoder
+from spanloom.llm.tokens import CACHE_PIECES, ID_BYTES, encoder, gathered
 from spanloom.session import store
 
 PIECES = "key bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -48,7 +48,7 @@ def cut_pieces(rows: DataFrame, path: str, tokens: int, end_id: int = END_ID, ca
         import pyarrow as pa
 
         step, end, known = tokens * ID_BYTES, struct.pack("<I", end_id), encoder(path, cache_pieces)
-        for batch in batches:
+        for batch in gathered(batches, "text"):
             rows = []
             found = known.encode_all([text or "" for text in batch.column("text").to_pylist()])
             for key, ids in zip(batch.column("key").to_pylist(), found):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from spanloom.llm.common import open_fs
-from spanloom.llm.tokens import CACHE_PIECES, ID_BYTES, encoder
+from spanloom.llm.tokens import CACHE_PIECES, ID_BYTES, encoder, gathered
 
 FORMAT = "token_records"
 SCHEMA = "key bigint, shard int, position bigint, start bigint, payload binary"
@@ -238,7 +238,7 @@ def encode_texts(rows: DataFrame, path: str, end_id: int = END_ID, cache_pieces:
         import pyarrow as pa
 
         known, end = encoder(path, cache_pieces), struct.pack("<I", end_id)
-        for batch in batches:
+        for batch in gathered(batches, "text"):
             payloads = [ids + end for ids in known.encode_all([text or "" for text in batch.column("text").to_pylist()])]
             yield pa.record_batch([batch.column("key"), pa.array(payloads, pa.binary())], names=["key", "payload"])
 

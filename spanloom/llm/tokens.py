@@ -16,6 +16,8 @@ ID_BYTES = 4
 CACHE_PIECES = 400_000
 # Pieces that are encoded in one call.
 LEARN_PIECES = 1_000
+# Texts of which the pieces are numbered together, and bytes of texts that are encoded in one call.
+TOGETHER_TEXTS, TOGETHER_BYTES = 4_096, 4 << 20
 
 # White space and controls that need care, and those that are left to the library.
 _ODD = re.compile("[\0\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
@@ -65,60 +67,87 @@ class PieceEncoder:
         """The ids of each text; pieces that are not known yet are learnt together."""
         if len(self.cache) > self.cache_pieces:
             self.older, self.cache, self.marks = self.cache, {}, {}
-        cut = [self._pieces(text) for text in texts]
-        found = [list(map(self.cache.get, pieces)) if pieces is not None else [] for pieces, _ in cut]
-        new: dict = {_restore: set(), _strip: set()}
-        gaps = []
-        for (pieces, text_of), ids in zip(cut, found):
-            gaps.append([i for i, one in enumerate(ids) if one is None] if None in ids else ())
-            if gaps[-1]:
-                new[text_of].update([pieces[i] for i in gaps[-1]])
-        for text_of, pieces in new.items():
-            if pieces:
-                self._learn(pieces, text_of)
-        for (pieces, _), ids, missing in zip(cut, found, gaps):
-            for i in missing:
+        found: list = [None] * len(texts)
+        plain = [i for i, text in enumerate(texts) if _is_plain(text)]
+        for at in range(0, len(plain), TOGETHER_TEXTS):
+            part = plain[at : at + TOGETHER_TEXTS]
+            for i, ids in zip(part, self._encode_plain([texts[i] for i in part])):
+                found[i] = ids
+        for i, text in enumerate(texts):
+            if found[i] is None:
+                found[i] = self._whole([text])[0] if _WIDE.search(text) else self._encode_spaced(text)
+        return found
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts with single blanks. The pieces of all are cut and numbered together; each is looked up once."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # A piece has no blank in front; the marker keeps the first piece of a text apart.
+        texts = [text.replace("\n", " \n") for text in texts]
+        joined = pa.array([" ".join(["\0" + text for text in texts])], pa.large_string())
+        coded = pc.split_pattern(joined, " ").flatten().dictionary_encode()
+        ids = self._known_ended(coded.dictionary)
+        each = np.empty(len(ids), object)
+        each[:] = ids
+        each, low, found = each[coded.indices.to_numpy()], 0, []
+        for text in texts:
+            high = low + text.count(" ") + 1
+            found.append(b"".join(each[low:high].tolist()))
+            low = high
+        return found
+
+    def _encode_spaced(self, text: str) -> bytes:
+        return b"".join(self._known([" " + p for p in _PIECES.findall(text)], _strip))
+
+    def _known_ended(self, pieces) -> list[bytes]:
+        """The ids of an Arrow array of pieces cut at single blanks; marks behind a letter are looked up apart."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        bodies = pc.utf8_rtrim(pieces, characters=_MARKS)
+        last = pc.utf8_slice_codeunits(bodies, -1, None).dictionary_encode()
+        # Lower-casing may end a letter in a mark, which then joins those that follow.
+        letter = np.array([c.isalpha() and c.lower().isalpha() for c in last.dictionary.to_pylist()], bool)
+        longer = pc.greater(pc.binary_length(pieces), pc.binary_length(bodies)).to_numpy(zero_copy_only=False)
+        ended = np.flatnonzero(letter[last.indices.to_numpy()] & longer).tolist()
+        words = pieces.to_numpy(zero_copy_only=False).tolist()
+        trimmed = bodies.take(pa.array(ended, pa.int64())).to_numpy(zero_copy_only=False).tolist()
+        tails = []
+        for i, body in zip(ended, trimmed):
+            tails.append(words[i][len(body) :])
+            words[i] = body
+        ids = self._known(words, _restore)
+        for marks in set(tails).difference(self.marks):
+            self.marks[marks] = self._whole([marks])[0]
+        for i, marks in zip(ended, map(self.marks.__getitem__, tails)):
+            ids[i] += marks
+        return ids
+
+    def _known(self, pieces: list[str], text_of) -> list[bytes]:
+        """The ids of each piece; `text_of` makes text of a piece again. Those not known yet are learnt."""
+        ids = list(map(self.cache.get, pieces))
+        if None in ids:
+            gaps = [i for i, one in enumerate(ids) if one is None]
+            self._learn({pieces[i] for i in gaps}, text_of)
+            for i in gaps:
                 ids[i] = self.cache[pieces[i]]
-        return [
-            b"".join(ids) if pieces is not None else self._whole([text])[0] for text, (pieces, _), ids in zip(texts, cut, found)
-        ]
-
-    def _pieces(self, text: str) -> tuple[list[str] | None, object]:
-        """The pieces of a text and how a piece becomes text again; no pieces if the text is to be encoded as a whole."""
-        if _ODD.search(text):
-            if _WIDE.search(text):
-                return None, _strip
-        elif "  " not in text and ("\n" not in text or not ("\n\n" in text or "\n " in text or " \n" in text)):
-            # Without the blank in front; the marker keeps the first piece apart.
-            pieces = text.replace("\n", " \n").split(" ")
-            pieces[0] = "\0" + pieces[0]
-            return pieces, _restore
-        return [" " + p for p in _PIECES.findall(text)], _strip
+        return ids
 
     def _learn(self, pieces: set[str], text_of) -> None:
         import numpy as np
 
-        single, joined, alone, ended = [], [], [], []
+        single, joined, alone = [], [], []
         for piece in pieces:
-            old = self.older.get(piece)
-            if old is not None:
-                self.cache[piece] = old
-                continue
-            body = piece.rstrip(_MARKS)
-            # Lower-casing may end a letter in a mark, which then joins those that follow.
-            if body != piece and body[-1:].isalpha() and body[-1:].lower().isalpha():
-                ended.append((piece, body))
-                if body in self.cache or body in pieces:
-                    continue
-                if body in self.older:
-                    self.cache[body] = self.older[body]
-                    continue
-                piece = body
-            if piece.isalpha():
+            if piece in self.older:
+                self.cache[piece] = self.older[piece]
+            elif piece.isalpha():
                 single.append(piece)
-                continue
-            text = text_of(piece)
-            (joined if self.mark and "<|" not in text and text.strip() else alone).append((piece, text))
+            else:
+                text = text_of(piece)
+                (joined if self.mark and "<|" not in text and text.strip() else alone).append((piece, text))
         for at in range(0, len(single), LEARN_PIECES):
             part = single[at : at + LEARN_PIECES]
             if not self._learn_words(part, text_of):
@@ -130,11 +159,6 @@ class PieceEncoder:
         if alone:
             for (piece, _), ids in zip(alone, self._whole([t for _, t in alone])):
                 self.cache[piece] = ids
-        for piece, body in ended:
-            marks = piece[len(body) :]
-            if marks not in self.marks:
-                self.marks[marks] = self._whole([marks])[0]
-            self.cache[piece] = self.cache[body] + self.marks[marks]
 
     def _learn_words(self, words: list[str], text_of) -> bool:
         """Learn pieces that are a blank and letters in one call, if their tokens show where each begins or ends."""
@@ -167,6 +191,29 @@ class PieceEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
 
+def _is_plain(text: str) -> bool:
+    """Whether all white space of a text is single blanks and line ends."""
+    if _ODD.search(text) or "  " in text:
+        return False
+    return "\n" not in text or not ("\n\n" in text or "\n " in text or " \n" in text)
+
+
+def gathered(batches, column: str):
+    """Arrow batches, put together while their `column` of texts holds at most TOGETHER_BYTES or that of one batch does."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        more = batch.column(column).nbytes
+        if held and size + more > TOGETHER_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _restore(piece: str) -> str:
     """The text of a piece cut at single blanks: the first has no blank in front, nor has one after a line end."""
     if piece[:1] == "\0":

@@ -39,6 +39,15 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
         assert np.frombuffer(known.encode(text), "<u4").tolist() == ids(path, text), text
 
 
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_words_are_learnt_once_whatever_marks_follow(name):
+    path = tokenizer(name)
+    known = PieceEncoder(path)
+    texts = ["x word word, word. word!? (word) word\nword, 12, word;", "İ, é. é, -, ß.", "", "x,", ",x ,, word.,", "a  word, b"]
+    assert [np.frombuffer(i, "<u4").tolist() for i in known.encode_all(texts)] == [ids(path, text) for text in texts]
+    assert "word" in known.cache and not {"word,", "word.", "word!?", "word;", "word.,", "é.", "é,"} & known.cache.keys()
+
+
 def test_frames():
     framed = records.frame(b"abc") + records.frame(b"")
     at = [0]
